@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliant.plans import incremental
+from foliant.plans import incremental, retrieval
 
-_PARTS = (incremental,)
+_PARTS = (incremental, retrieval)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL = {k: v for p in _PARTS for k, v in p.SQL.items()}
-FLAGSHIP = "p1_found"
+FLAGSHIP = "bm25_project_cap"
