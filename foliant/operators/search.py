@@ -1,7 +1,7 @@
 """Ranked, grouped, token and hybrid search over chunks.
 
 BM25 works from the query: its words' 2- and 3-grams are counted in each field with built-in expressions, the corpus is
-never exploded into n-grams. Statistics come from one aggregate over the corpus. Scores are exact (true field lengths, double
+never exploded into n-grams. Statistics come from one aggregate over the corpus; rows without a match leave before they are scored. Scores are exact (true field lengths, double
 precision); every ranking has a total order, on unrounded scores, with ties by project, file and chunk.
 """
 
@@ -54,26 +54,26 @@ def bm25_scores(chunks: DataFrame, query: str, boosts: dict[str, float] | None =
     if not terms:
         return chunks.withColumn("score", F.lit(0.0)).filter(F.lit(False))
     every = list(dict.fromkeys(g for w in terms for g in grams(w)))
-    counted = chunks
-    low = {f: F.lower(T.text(f)) for f in boosts}
-    tf = {(f, g): f"_tf_{i}_{j}" for i, f in enumerate(boosts) for j, g in enumerate(every)}
-    counted = counted.select("*", *[occurrences(low[f], g).alias(n) for (f, g), n in tf.items()], *[field_length(low[f]).alias(f"_dl_{i}") for i, f in enumerate(boosts)])
-    stats = counted.agg(
-        F.count("*").alias("_n"),
-        *[F.count_if(F.col(n) > 0).alias(f"_df{n}") for n in tf.values()],
-        *[F.avg(f"_dl_{i}").alias(f"_avg_{i}") for i in range(len(boosts))],
-    )
-    both = counted.crossJoin(F.broadcast(stats))  # one row
-    parts = []
-    for i, f in enumerate(boosts):
-        norm = K1 * (1 - B + B * F.col(f"_dl_{i}") / F.greatest(F.col(f"_avg_{i}"), F.lit(1e-9)))
+    low = {f: f"_low{i}" for i, f in enumerate(boosts)}
+    lowered = chunks.select("*", *[F.lower(T.text(f)).alias(n) for f, n in low.items()])
+    has = lambda f, g: F.contains(F.col(low[f]), F.lit(g))
+    # one row of statistics comes to the driver, so that weights are constants in the scan that scores
+    stats = lowered.agg(F.count("*"), *[F.avg(field_length(F.col(low[f]))) for f in boosts], *[F.count_if(has(f, g)) for f in boosts for g in every]).first()
+    n, means = stats[0], stats[1 : 1 + len(boosts)]
+    df = dict(zip(((f, g) for f in boosts for g in every), stats[1 + len(boosts) :]))
+    parts, hits = [], []
+    for f, mean in zip(boosts, means):
+        norm = K1 * (1 - B + B * field_length(F.col(low[f])) / max(mean or 0.0, 1e-9))
         for w in terms:
-            names = [tf[f, g] for g in grams(w)]
-            freq = F.least(*[F.col(n) for n in names]) if len(names) > 1 else F.col(names[0])
-            idf = reduce(lambda a, b: a + b, [F.log(1 + (F.col("_n") - F.col(f"_df{n}") + 0.5) / (F.col(f"_df{n}") + 0.5)) for n in names])
-            parts.append(F.when(freq > 0, boosts[f] * idf * freq * (K1 + 1) / (freq + norm)).otherwise(0.0))
-    scored = both.withColumn("score", reduce(lambda a, b: a + b, parts))
-    return scored.select(*chunks.columns, "score").filter("score > 0")
+            own = grams(w)
+            match = reduce(lambda a, b: a & b, [has(f, g) for g in own])
+            each = [occurrences(F.col(low[f]), g) for g in own]
+            freq = F.least(*each) if len(each) > 1 else each[0]
+            idf = sum(math.log(1 + (n - df[f, g] + 0.5) / (df[f, g] + 0.5)) for g in own)
+            hits.append(match)
+            parts.append(F.when(match, F.lit(boosts[f] * idf * (K1 + 1)) * freq / (freq + norm)).otherwise(0.0))
+    scored = lowered.filter(reduce(lambda a, b: a | b, hits))
+    return scored.select(*chunks.columns, reduce(lambda a, b: a + b, parts).alias("score"))
 
 
 def _order(*extra: str) -> list[Column]:
@@ -212,3 +212,53 @@ def search_auto(chunks: DataFrame, docs: DataFrame, query: str, limit: int = 20,
         if mode == "ranked" or not ranked.isEmpty():
             return "ranked", ranked
     return "grep", search_grep(docs, query, limit, project)
+
+
+def bm25_batch(chunks: DataFrame, queries: dict[str, str], limit: int = 20, boosts: dict[str, float] | None = None) -> DataFrame:
+    """(qid, project, file, chunk_id, score, rank): the best chunks of many queries in one pass over the corpus.
+
+    Only grams that a query asks for are counted, in one look at each text; their postings meet the queries' words in a
+    join with the word table, which is as long as the queries are. The ranking keeps `limit` rows per query before it is
+    shuffled."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    boosts = boosts or BOOSTS
+    spark = chunks.sparkSession
+    rows = [(qid, w, g, len(grams(w))) for qid, q in queries.items() for w in words(q) for g in grams(w)]
+    if len(rows) > 1_000_000:
+        raise ValueError("too many query words for one batch")
+    wanted = spark.sparkContext.broadcast(frozenset(r[2] for r in rows))
+    asked = spark.createDataFrame(rows, "qid string, word string, gram string, need int")
+    fields = list(boosts)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        want = wanted.value
+        for b in batches:
+            at, field, gram, tf, length = [], [], [], [], []
+            for i, texts in enumerate(zip(*(b[f] for f in fields))):
+                for j, t in enumerate(texts):
+                    seen: dict[str, int] = {}
+                    for n in (2, 3):
+                        for k in range(len(t) - n + 1):
+                            g = t[k : k + n]
+                            if g in want:
+                                seen[g] = seen.get(g, 0) + 1
+                    for g, c in seen.items():
+                        at.append(i), field.append(j), gram.append(g), tf.append(c), length.append(max(len(t) - 1, 0) + max(len(t) - 2, 0))
+            yield b[KEY].iloc[at].reset_index(drop=True).assign(field=field, gram=gram, tf=tf, dl=length)
+
+    low = chunks.select(*KEY, *[F.lower(T.text(f)).alias(f) for f in fields])
+    postings = low.mapInPandas(count, "project string, file string, chunk_id long, field int, gram string, tf int, dl int")
+    stats = low.agg(F.count("*"), *[F.avg(field_length(F.col(f))) for f in fields]).first()
+    n, means = stats[0], [max(m or 0.0, 1e-9) for m in stats[1:]]
+    df = postings.groupBy("field", "gram").agg(F.count("*").alias("df")).withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).drop("df")
+    per_field = lambda values: F.element_at(F.array(*[F.lit(float(x)) for x in values]), F.col("field") + 1)
+    met = postings.join(asked, "gram").join(df, ["field", "gram"])
+    found = met.groupBy("qid", "word", "need", "field", *KEY).agg(F.count("*").alias("have"), F.min("tf").alias("tf"), F.sum("idf").alias("idf"), F.first("dl").alias("dl")).filter("have = need")
+    norm = K1 * (1 - B + B * F.col("dl") / per_field(means))
+    gain = per_field(boosts[f] for f in fields) * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    scored = found.groupBy("qid", *KEY).agg(F.sum(gain).alias("score"))
+    rank = F.row_number().over(W.partitionBy("qid").orderBy(F.round(F.col("score"), 9).desc(), "project", "file", "chunk_id"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= limit)
