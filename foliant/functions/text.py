@@ -43,12 +43,15 @@ def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), value being computed once a row however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def lines(content: Column) -> Column:
     """Lines as the engine counts them: split at line feeds, one carriage return dropped, no last empty line."""
-    parts = F.split(text(content), "\n", -1)
-    parts = F.transform(parts, lambda x: F.regexp_replace(x, "\r$", ""))
-    n = F.size(parts)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, n - 1)).otherwise(parts)
+    parts = F.transform(F.split(text(content), "\n", -1), lambda x: F.regexp_replace(x, "\r$", ""))
+    return let(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
 def file_name(path: Column) -> Column:
@@ -197,17 +200,20 @@ def page_markers(t: Column) -> Column:
 
 
 def front_matter(content: Column) -> Column:
-    """map<key, value> of the block between a first line '---' and the next '---' or '...'; empty if there is none or it is not closed."""
-    ls = lines(content)
-    ends = F.filter(F.sequence(F.lit(1), F.greatest(F.size(ls), F.lit(1))), lambda i: (i > 1) & F.rtrim(F.try_element_at(ls, i)).isin("---", "..."))
-    closed = (F.size(ls) > 1) & (F.rtrim(F.try_element_at(ls, F.lit(1))) == "---") & (F.size(ends) > 0)
-    block = F.when(closed, F.slice(ls, 2, F.try_element_at(ends, F.lit(1)) - 2)).otherwise(F.array().cast("array<string>"))
-    pairs = F.filter(block, lambda x: F.instr(x, ":") > 0)
+    """array<struct<key, value>> of the block between a first line '---' and the next '---' or '...'; empty if there is none or it is
+    not closed."""
     key = lambda x: F.lower(F.trim(F.substring_index(x, ":", 1)))
     unquote = lambda v: F.trim(F.regexp_replace(F.regexp_replace(F.trim(v), '^"+|"+$', ""), "^'+|'+$", ""))
     value = lambda x: unquote(F.regexp_replace(x, "^[^:]*:", ""))
-    entries = F.transform(pairs, lambda x: F.struct(key(x).alias("key"), value(x).alias("value")))
-    return entries
+    none = F.array().cast("array<string>")
+
+    def block(ls: Column) -> Column:
+        end = F.array_position(F.transform(ls, lambda l, i: (i > 0) & F.rtrim(l).isin("---", "...")), True).cast("int")
+        return F.when(end > 1, F.slice(ls, 2, F.greatest(end - 2, F.lit(0)))).otherwise(none)
+
+    entries = F.transform(F.filter(let(lines(content), block), lambda x: F.instr(x, ":") > 0), lambda x: F.struct(key(x).alias("key"), value(x).alias("value")))
+    opens = text(content).rlike(r"^---[ \t]*\r?\n")
+    return F.when(opens, entries).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
 
 
 def should_skip(content: Column) -> Column:
@@ -228,14 +234,18 @@ def has_section(content: Column, heading: str) -> Column:
 def list_items(content: Column, heading: str) -> Column:
     """'- ' and '* ' lines from the first line with this heading to the next heading of its level or above."""
     level = len(heading) - len(heading.lstrip("#"))
-    ls = F.transform(lines(content), lambda l: F.trim(l))
-    starts = F.filter(F.sequence(F.lit(0), F.size(ls)), lambda i: (i > 0) & F.lower(F.try_element_at(ls, F.greatest(i, F.lit(1)))).startswith(heading.lower()))
-    first = F.try_element_at(starts, F.lit(1))
-    rest = F.when(first.isNotNull(), F.slice(ls, first + 1, F.greatest(F.size(ls) - first, F.lit(0)))).otherwise(F.array().cast("array<string>"))
-    stop = F.transform(rest, lambda l: F.length(F.regexp_extract(l, "^(#*)", 1)).between(1, level))
-    n = F.array_position(stop, True)
-    section = F.when(n > 0, F.slice(rest, 1, n.cast("int") - 1)).otherwise(rest)
-    return F.size(F.filter(section, lambda l: l.startswith("- ") | l.startswith("* ")))
+    none = F.array().cast("array<string>")
+
+    def after(ls: Column) -> Column:
+        first = F.array_position(F.transform(ls, lambda l: F.startswith(F.lower(l), F.lit(heading.lower()))), True).cast("int")
+        return F.when(first > 0, F.slice(ls, first + 1, F.size(ls) - first)).otherwise(none)
+
+    def section(rest: Column) -> Column:
+        stop = F.array_position(F.transform(rest, lambda l: F.length(F.regexp_extract(l, "^(#*)", 1)).between(1, level)), True).cast("int")
+        return F.when(stop > 0, F.slice(rest, 1, stop - 1)).otherwise(rest)
+
+    kept = let(let(F.transform(lines(content), lambda l: F.trim(l)), after), section)
+    return F.size(F.filter(kept, lambda l: l.startswith("- ") | l.startswith("* ")))
 
 
 def is_expired(valid_until: Column, now: Column) -> Column:

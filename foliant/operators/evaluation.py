@@ -67,7 +67,7 @@ def section_ranges(docs: DataFrame, sections: DataFrame) -> DataFrame:
     rows = sections.select("qid", norm(F.col("file")).alias("_f"), F.lower("heading").alias("h")).join(d, "_f")
     at = F.array_position(F.transform("ls", lambda l: F.startswith(F.lower(l), F.col("h"))), True).cast("int")
     rows = rows.withColumn("first", at).filter("first > 0")
-    mark = F.length(F.regexp_extract(F.element_at("ls", F.col("first")), r"^\s*(\S*)", 1))
+    mark = F.length(F.regexp_extract(F.get("ls", F.col("first") - 1), r"^\s*(\S*)", 1))
     rows = rows.withColumn("_m", mark)
     bare = lambda l: F.ltrim(l)
     stops = lambda l: bare(l).startswith("#") & (F.length(bare(l)) > F.least("_m", F.lit(2))) & (F.length(F.regexp_extract(bare(l), "^(#*)", 1)) >= F.least(F.greatest(F.col("_m"), F.lit(2)), F.length(bare(l))))
