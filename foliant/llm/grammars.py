@@ -286,12 +286,12 @@ impl = [ 'default' ] [ 'unsafe' ] 'impl' [ generics ] [ 'const' ] ( [ '!' ] type
 assoc = { outer } ( [ vis ] [ 'default' ] ( fn | const | alias ) | macroitem ) ;
 mod = [ 'unsafe' ] 'mod' NAME ( ';' | '{' { inner } { item } '}' ) ;
 use = 'use' usetree ';' ;
-usetree = [ '::' ] ( '*' | '{' [ usetree { ',' usetree } [ ',' ] ] '}' | useseg { '::' useseg } [ '::' ( '*' | '{' [ usetree { ',' usetree } [ ',' ] ] '}' ) ] [ 'as' NAME ] ) ;
+usetree = [ '::' ] ( '*' | '{' [ usetree { ',' usetree } [ ',' ] ] '}' | useseg { '::' useseg } [ '::' ( '*' | '{' [ usetree { ',' usetree } [ ',' ] ] '}' ) ] [ 'as' ( NAME | '_' ) ] ) ;
 useseg = NAME | 'crate' | 'self' | 'super' | 'Self' ;
-const = 'const' NAME ':' type [ '=' expr ] ';' ;
+const = 'const' ( NAME | '_' ) ':' type [ '=' expr ] ';' ;
 static = 'static' [ 'mut' ] NAME ':' type [ '=' expr ] ';' ;
 alias = 'type' NAME [ generics ] [ ':' [ bounds ] ] [ where ] [ '=' type ] [ where ] ';' ;
-externcrate = 'extern' 'crate' ( NAME | 'self' ) [ 'as' NAME ] ';' ;
+externcrate = 'extern' 'crate' ( NAME | 'self' ) [ 'as' ( NAME | '_' ) ] ';' ;
 externblock = [ 'unsafe' ] 'extern' [ STR ] '{' { inner } { { outer } ( [ vis ] ( fn | static | alias ) | macroitem ) } '}' ;
 seg = NAME | 'self' | 'Self' | 'super' | 'crate' ;
 path = [ '::' ] seg { '::' seg } ;

@@ -28,7 +28,7 @@ def _simple(text: str, pattern: re.Pattern, words: frozenset[str], space: re.Pat
             pos = m.end()
         if pos >= n:
             return
-        m = pattern.match(text, pos)
+        m = None if text.startswith("/*", pos) else pattern.match(text, pos)
         if not m:
             yield (OPEN if _unfinished(text, pos) else ERROR), pos, newline
             return
@@ -187,12 +187,12 @@ def rust(text: str) -> Iterator[Token]:
         pos = m.end()
 
 
-_JS_SPACE = re.compile(r"(?:[\s﻿]|//[^\n\u2028\u2029]*|/\*.*?\*/|<!--[^\n]*|^-->[^\n]*)*", re.S | re.M)
-_TS_SPACE = re.compile(r"(?:[\s﻿]|//[^\n\u2028\u2029]*|/\*.*?\*/)*", re.S)
+_JS_SPACE = re.compile(r"(?:[\s\ufeff]|//[^\n\u2028\u2029]*|/\*.*?\*/|<!--[^\n]*|^-->[^\n]*)*", re.S | re.M)
+_TS_SPACE = re.compile(r"(?:[\s\ufeff]|//[^\n\u2028\u2029]*|/\*.*?\*/)*", re.S)
 _JS_OPERATORS = _operators("...", "=>", "?.", "++", "--", "**", "===", "!==", "??", ">>>", *g.JS_ASSIGN, *g.C_BIN, "~", "!", ".", ",", ";", ":", "?", "@", "(", ")", "[", "]", "{", "}")
 _JS_TOKEN = re.compile(
     rf"(?P<STR>\"(?:[^\"\\\n]|\\(?:.|\n))*\"|'(?:[^'\\\n]|\\(?:.|\n))*')|(?P<NUM>(?:0[xX][0-9a-fA-F_]+n?|0[oO][0-7_]+n?|0[bB][01_]+n?|[0-9][0-9_]*n|(?:[0-9][0-9_]*(?:\.[0-9_]*)?|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9_]+)?)(?![\w$]))"
-    rf"|(?P<id>(?:[^\W\d]|\$|\\u[0-9a-fA-F]{{4}}|\\u\{{[0-9a-fA-F]+\}})(?:[\w$‌‍]|\\u[0-9a-fA-F]{{4}}|\\u\{{[0-9a-fA-F]+\}})*)|(?P<PRIVATE>#(?:[^\W\d]|\$)[\w$]*)|(?P<op>\?\.(?![0-9])|{_JS_OPERATORS.replace(re.escape('?.') + '|', '')})"
+    rf"|(?P<id>(?:[^\W\d]|\$|\\u[0-9a-fA-F]{{4}}|\\u\{{[0-9a-fA-F]+\}})(?:[\w$\u200c\u200d]|\\u[0-9a-fA-F]{{4}}|\\u\{{[0-9a-fA-F]+\}})*)|(?P<PRIVATE>#(?:[^\W\d]|\$)[\w$]*)|(?P<op>\?\.(?![0-9])|{_JS_OPERATORS.replace(re.escape('?.') + '|', '')})"
 )
 _JS_REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*")
 _JS_TEMPLATE = re.compile(r"(?:[^`\\$]|\\(?:.|\n)|\$(?!\{))*(`|\$\{)", re.S)
@@ -221,7 +221,7 @@ class JavaScript:
 
     def next(self, pattern_may_come) -> Token | None:
         m = self.space.match(self.text, self.pos)
-        newline = "\n" in m[0] or " " in m[0] or " " in m[0]
+        newline = any(c in m[0] for c in "\n\u2028\u2029")
         self.pos = at = m.end()
         if at >= len(self.text):
             return None
@@ -263,7 +263,7 @@ def python(text: str) -> Iterator[Token]:
     """With NEWLINE, INDENT and DEDENT. F-strings come as STR; their fields are checked by the caller through fields()."""
     words = frozenset((*g.PYTHON_HARD, *g.PYTHON_SOFT))
     pos, n, indents, open_, fresh = 0, len(text), [("", 0, 0)], [], True
-    if text.startswith("﻿"):
+    if text.startswith("\ufeff"):
         pos = 1
     while True:
         if fresh and not open_:

@@ -32,7 +32,7 @@ ABBREVIATIONS = frozenset(
 # abbreviations that often stand last in a sentence: before a capital they end it
 LAST = frozenset("etc al inc ltd co corp jr sr".split())
 
-_FRONT = re.compile(r"\A﻿?---[ \t]*\r?\n.*?^(?:---|\.\.\.)[ \t]*\r?$\n?", re.S | re.M)
+_FRONT = re.compile(r"\A\ufeff?---[ \t]*\r?\n.*?^(?:---|\.\.\.)[ \t]*\r?$\n?", re.S | re.M)
 _FENCE = re.compile(r"^[ \t]*(?:[-*+>][ \t]+)*(`{3,}|~{3,})[^\n]*\n.*?(?:^[ \t>]*\1[`~]*[ \t]*$|\Z)", re.S | re.M)
 _MARKUP_CODE = re.compile(r"<(pre|code|script|style)\b[^>]*>.*?</\1>|<!--.*?-->|\\begin\{(?:verbatim|lstlisting|equation|align)\*?\}.*?\\end\{[a-z]+\*?\}|\$\$.*?\$\$", re.S | re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
@@ -47,7 +47,7 @@ _SETTING = re.compile(r"^[ \t]*(?:export[ \t]+)?[\w.\-\[\]]+[ \t]*(?:=|:=)[ \t]*
 _INDENTED = re.compile(r"^(?: {4,}|\t)\S")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _STOP = re.compile(r"([.!?…]+)[\"'”’)\]]*(\s+)(?=[\"'“‘(\[]*(.))")
-_WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
+_WIDE = re.compile(r"[\u3040-ヿ㐀-鿿가-\ud7af]")
 
 
 def prose(text: str) -> list[str]:

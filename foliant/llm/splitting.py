@@ -44,7 +44,7 @@ def strengths(text: str) -> np.ndarray:
     s = np.full(n + 1, CHARACTER, dtype=np.int64)
     if n < 2:
         return s
-    newline, space = (a == 10) | (a == 0x2028) | (a == 0x2029), np.isin(a, _codes(" \t\n\r\f\v   　"))
+    newline, space = (a == 10) | (a == 0x2028) | (a == 0x2029), np.isin(a, _codes(" \t\n\r\f\v\u00a0\u2028\u2029\u3000"))
     before, after = slice(0, n - 1), slice(1, n)  # a cut at i lies between a[i-1] and a[i]
     inner = s[1:n]
     inner[space[before] & ~space[after]] = WORD
@@ -82,7 +82,7 @@ def strengths(text: str) -> np.ndarray:
         blank_seen = False
     s[1:n][(a[before] == 13) & (a[after] == 10)] = INSIDE
     if (a > 0x2FF).any():
-        joined = np.isin(a, _codes("‍︎️")) | ((a >= 0x1F3FB) & (a <= 0x1F3FF))
+        joined = np.isin(a, _codes("\u200d\ufe0e\ufe0f")) | ((a >= 0x1F3FB) & (a <= 0x1F3FF))
         odd = np.flatnonzero(a > 0x2FF)
         marks = np.unique(a[odd])
         marks = marks[[unicodedata.combining(chr(c)) > 0 or unicodedata.category(chr(c)) in ("Mn", "Me", "Mc") for c in marks]]

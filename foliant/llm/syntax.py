@@ -107,7 +107,7 @@ def _javascript(g: Grammar, text: str, typed: bool) -> tuple[str, int]:
 def verdict(language: str, content: str | None) -> Verdict:
     """Whether the content is valid in the language; why and where not."""
     text = (content or "").replace("\r\n", "\n").replace("\r", "\n")
-    if text.startswith("﻿"):
+    if text.startswith("\ufeff"):
         text = text[1:]
     if not text.strip():
         return True, "", 0
