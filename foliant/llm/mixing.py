@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.keys import Carried
 from foliant.llm import tokens
 from foliant.session import cut
 
@@ -140,8 +141,8 @@ def solve(
     share = np.array([v[1] for v in chosen.values()] + [0.0])
     repeats = np.array([float(v[2]) for v in chosen.values()] + [1.0])
 
-    kind = dict(df.dtypes)[key]
-    rows = df.select(F.col(key), F.col(text).alias("_t"), normal(F.col(source)).alias("_s"))
+    carried = Carried(df, [key])
+    rows = df.select(*carried.cols, F.col(text).alias("_t"), normal(F.col(source)).alias("_s"))
     share_of = min(1.0, sample_rows / max(1, df.count()))
     picked = rows.filter((F.col("_s") != "") & (F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share_of * 1_000_000) + 1))
     sample = picked.select("_t", "_s").limit(sample_rows).collect()
@@ -161,7 +162,7 @@ def solve(
                 label = [other if x < 0 else x for x in label]
             yield pd.DataFrame({key: batch[key], "tokens": [tokens.count(t, vocabulary) for t in batch["_t"]], "label": label, "posterior": p})
 
-    measured = cut(rows.mapInPandas(measure, f"`{key}` {kind}, tokens int, label int, posterior array<float>"))
+    measured = cut(rows.mapInPandas(measure, f"{carried.schema}, tokens int, label int, posterior array<float>").select(*carried.back, "tokens", "label", "posterior"))
     sums = {r[0]: float(r[1] or 0) for r in measured.groupBy("label").agg(F.sum("tokens")).collect()}  # one row per target
     labelled = np.array([sums.get(j, 0.0) for j in range(other + 1)])
     total = sum(sums.values())
@@ -233,8 +234,9 @@ def documents(mix: Mix) -> DataFrame:
             rate, copies, best, _ = _apply(light, batch, carry)
             yield pd.DataFrame({key: batch[key], "source": [light.names[x] for x in best], "tokens": batch["tokens"], "rate": rate, "copies": copies})
 
-    kind = dict(mix.measured.dtypes)[key]
-    return mix.measured.mapInPandas(run, f"`{key}` {kind}, source string, tokens int, rate double, copies int")
+    carried = Carried(mix.measured, [key])
+    out = mix.measured.select(*carried.cols, "tokens", "label", "posterior").mapInPandas(run, f"{carried.schema}, source string, tokens int, rate double, copies int")
+    return out.select(*carried.back, "source", "tokens", "rate", "copies")
 
 
 def report(mix: Mix) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.keys import Carried
 from foliant.llm import tokens
 from foliant.session import cut
 
@@ -75,7 +76,7 @@ def _first_name() -> int:
 
 def pack(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, places: int = 256, vocabulary: str = tokens.RANKS) -> DataFrame:
     """(key, piece, tok_start, tok_end, container): token ranges of each item and where they went."""
-    kind = dict(df.dtypes)[key]
+    carried = Carried(df, [key])
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bins = OpenBins(capacity, places, _first_name())
@@ -88,8 +89,8 @@ def pack(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, places: i
                     at.append(i), no.append(k), begin.append(a), stop.append(b), where.append(bins.put(b - a)[0])
             yield pd.DataFrame({key: batch[key].iloc[at].to_numpy(), "piece": no, "tok_start": begin, "tok_end": stop, "container": where})
 
-    rows = df.select(F.col(key), F.col(text).alias("t"))
-    placed = cut(rows.mapInPandas(first, f"`{key}` {kind}, piece int, tok_start int, tok_end int, container long"))
+    rows = df.select(*carried.cols, F.col(text).alias("t"))
+    placed = cut(rows.mapInPandas(first, f"{carried.schema}, piece int, tok_start int, tok_end int, container long"))
     used = placed.groupBy("container").agg(F.sum(F.col("tok_end") - F.col("tok_start")).cast("int").alias("used"))
     # every container with room for another of its like is an item of the second pass
     loose = used.filter(F.col("used") <= capacity // 2)
@@ -101,4 +102,4 @@ def pack(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, places: i
 
     parts = max(1, placed.rdd.getNumPartitions() // 32)
     moved = loose.repartition(parts, "container").sortWithinPartitions(F.desc("used"), "container").mapInPandas(second, "container long, joined long")
-    return placed.join(moved, "container", "left").select(key, "piece", "tok_start", "tok_end", F.coalesce("joined", "container").alias("container"))
+    return placed.join(moved, "container", "left").select(*carried.back, "piece", "tok_start", "tok_end", F.coalesce("joined", "container").alias("container"))

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.keys import Carried
+
 # fixed values: abbreviations whose full stop does not end a sentence
 ABBREVIATIONS = frozenset(
     "al approx art ca cf ch chap chs co corp dept dr ed eds e.g eg eq eqs est etc fig figs i.e ie inc jan feb mar apr jun jul aug sep sept oct nov dec jr "
@@ -170,6 +172,7 @@ def thresholds(samples: Sequence[tuple[str, int]]) -> dict[int, float]:
 
 def grade(df: DataFrame, key: str, text: str, samples: Sequence[tuple[str, int]]) -> DataFrame:
     """(key, words, sentences, syllables, grade, level). samples: the labelled passages, a small fixed table."""
+    carried = Carried(df, [key])
     steps = sorted(thresholds(samples).items())
     lowest = min((x for _, x in samples if x is not None), default=1)
 
@@ -181,10 +184,10 @@ def grade(df: DataFrame, key: str, text: str, samples: Sequence[tuple[str, int]]
             out.insert(0, key, batch[key].to_numpy())
             yield out
 
-    kind = dict(df.dtypes)[key]
-    rows = df.select(F.col(key), F.col(text).alias("_t")).mapInPandas(run, f"`{key}` {kind}, words int, sentences int, syllables int, grade double")
+    rows = df.select(*carried.cols, F.col(text).alias("_t")).mapInPandas(run, f"{carried.schema}, words int, sentences int, syllables int, grade double")
     value = F.when(F.isnan("grade"), None).otherwise(F.col("grade"))
     level = F.lit(lowest)
     for at, least in steps:
         level = F.when(F.col("grade") >= least, at).otherwise(level)
-    return rows.withColumn("grade", value).withColumn("level", F.when(F.col("grade").isNotNull(), level).cast("int"))
+    out = rows.withColumn("grade", value).withColumn("level", F.when(F.col("grade").isNotNull(), level).cast("int"))
+    return out.select(*carried.back, "words", "sentences", "syllables", "grade", "level")

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.keys import Carried
+
 HEADING, PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, CHARACTER, INSIDE = 7, 6, 5, 4, 3, 2, 1, 0
 
 # fixed values: punctuation that ends sentences and clauses
@@ -134,13 +136,13 @@ def cut_points(text: str, limit: int, overlap: int, fill: float = 0.5) -> list[t
 def split(df: DataFrame, keys: Sequence[str], text: str, limit: str, overlap: str) -> DataFrame:
     """(keys, piece, start, end, text): piece counts from 0; start and end are code point offsets. Items within their
     limit never leave the JVM."""
-    keys = list(keys)
-    rows = df.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("_text"), F.col(limit).cast("int").alias("_limit"), F.coalesce(F.col(overlap), F.lit(0)).cast("int").alias("_overlap"))
+    carried = Carried(df, keys)
+    keys = carried.keys
+    rows = df.select(*carried.cols, F.coalesce(F.col(text), F.lit("")).alias("_text"), F.col(limit).cast("int").alias("_limit"), F.coalesce(F.col(overlap), F.lit(0)).cast("int").alias("_overlap"))
     large = (F.col("_limit") >= 1) & (F.length("_text") > F.col("_limit"))
     zero = F.lit(0).cast("int")
-    small = rows.filter(F.coalesce(~large, F.lit(True))).select(*keys, zero.alias("piece"), zero.alias("start"), F.length("_text").alias("end"), F.col("_text").alias("text"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "piece int, start int, end int, text string"])
+    small = rows.filter(F.coalesce(~large, F.lit(True))).select(*carried.back, zero.alias("piece"), zero.alias("start"), F.length("_text").alias("end"), F.col("_text").alias("text"))
+    schema = f"{carried.schema}, _o_piece int, _o_start int, _o_end int, _o_text string"
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -149,6 +151,7 @@ def split(df: DataFrame, keys: Sequence[str], text: str, limit: str, overlap: st
                 for k, (a, b) in enumerate(cut_points(body, int(most), int(shared))):
                     at.append(i), no.append(k), begin.append(a), stop.append(b), texts.append(body[a:b])
             out = batch[keys].iloc[at].reset_index(drop=True)
-            yield out.assign(piece=no, start=begin, end=stop, text=texts)
+            yield out.assign(_o_piece=no, _o_start=begin, _o_end=stop, _o_text=texts)
 
-    return small.unionByName(rows.filter(large).mapInPandas(pieces, schema))
+    cut = rows.filter(large).mapInPandas(pieces, schema)
+    return small.union(cut.select(*carried.back, *[F.col("_o_" + c).alias(c) for c in ("piece", "start", "end", "text")]))

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.keys import Carried
 from foliant.llm import lexers
 from foliant.llm.derivatives import Grammar, Node
 from foliant.llm.grammars import grammar
@@ -127,8 +128,8 @@ def verdict(language: str, content: str | None) -> Verdict:
 
 def judge(df: DataFrame, keys: Sequence[str], language: str, path: str, content: str) -> DataFrame:
     """(keys, language, valid, reason, line) of each file; language is the one it was judged as."""
-    keys = list(keys)
-    kinds = dict(df.dtypes)
+    carried = Carried(df, keys)
+    keys = carried.keys
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[tuple[str, str], Verdict] = {}
@@ -150,6 +151,6 @@ def judge(df: DataFrame, keys: Sequence[str], language: str, path: str, content:
                 out["_o_" + name] = pd.Series([r[i] for r in rows], dtype="object")
             yield out
 
-    picked = df.select(*keys, F.col(language).alias("_language"), F.col(path).alias("_path"), F.col(content).alias("_content"))
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "_o_language string, _o_valid boolean, _o_reason string, _o_line int"])
-    return picked.mapInPandas(run, schema).select(*keys, *[F.col("_o_" + c).alias(c) for c in ("language", "valid", "reason", "line")])
+    picked = df.select(*carried.cols, F.col(language).alias("_language"), F.col(path).alias("_path"), F.col(content).alias("_content"))
+    schema = f"{carried.schema}, _o_language string, _o_valid boolean, _o_reason string, _o_line int"
+    return picked.mapInPandas(run, schema).select(*carried.back, *[F.col("_o_" + c).alias(c) for c in ("language", "valid", "reason", "line")])
