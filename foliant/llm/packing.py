@@ -3,7 +3,7 @@
 Bounded-space online best-fit: each task reads its documents once and keeps a fixed number of open containers. Their free
 spaces are a bitset, so the container that fits tightest is the lowest set bit at or above the item's size; when nothing
 fits and all places are taken, the fullest container closes. What is still open at the end of a task is an item of its
-own for a second pass over far fewer tasks, so the waste does not grow with the number of tasks.
+own for a second pass over far fewer tasks (one per 5 000 of them), so the waste does not grow with the number of tasks.
 
 An item above the capacity is cut into full pieces and a rest; no other item is split. Pieces are token ranges.
 
@@ -100,6 +100,6 @@ def pack(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, places: i
         for batch in batches:
             yield pd.DataFrame({"container": batch["container"], "joined": [bins.put(int(u))[0] for u in batch["used"]]})
 
-    parts = max(1, placed.rdd.getNumPartitions() // 32)
+    parts = max(1, loose.count() // 5000)
     moved = loose.repartition(parts, "container").sortWithinPartitions(F.desc("used"), "container").mapInPandas(second, "container long, joined long")
     return placed.join(moved, "container", "left").select(*carried.back, "piece", "tok_start", "tok_end", F.coalesce("joined", "container").alias("container"))
