@@ -2,7 +2,6 @@
 
 import ast
 import random
-import sys
 import warnings
 from pathlib import Path
 
