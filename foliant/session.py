@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +39,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there: nothing before it is computed twice, and no executor holds the only copy."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def cpus_of(spark: SparkSession) -> int:
-    """Task slots, for choosing how finely to split CPU-bound work."""
-    return max(1, spark.sparkContext.defaultParallelism, os.cpu_count() if spark.sparkContext.master.startswith("local[*") else 1)
