@@ -170,11 +170,12 @@ def promote_score(docs: DataFrame, projects: DataFrame) -> DataFrame:
     stem 3, in each path segment 2, in the text 1 each up to 5; of equal scores the last name. projects: names, checked
     for size by the planner before it broadcasts them."""
     name = F.lower("candidate")
-    path, body = F.lower(F.col("file")), F.lower(T.text("content"))
-    segments = F.size(F.filter(F.split(path, "/"), lambda p: F.contains(p, name)))
-    count = ((F.length(body) - F.length(F.replace(body, name, F.lit("")))) / F.length(name)).cast("int")
-    score = F.when(F.contains(F.lower(T.stem(F.col("file"))), name), 3).otherwise(0) + 2 * segments + F.least(count, F.lit(5))
+    # lowered once per document, not once per pair
+    low = docs.select("file", F.lower(F.col("file")).alias("_path"), F.lower(T.stem(F.col("file"))).alias("_stem"), F.lower(T.text("content")).alias("_body"))
+    segments = F.size(F.filter(F.split("_path", "/"), lambda p: F.contains(p, name)))
+    count = ((F.length("_body") - F.length(F.replace(F.col("_body"), name, F.lit("")))) / F.length(name)).cast("int")
+    score = F.when(F.contains(F.col("_stem"), name), 3).otherwise(0) + 2 * segments + F.least(count, F.lit(5))
     named = projects.select(F.col("project").alias("candidate")).filter("candidate <> ''").distinct()
-    scored = docs.join(named, F.contains(F.concat(path, F.lit("\n"), body), name)).select("file", "candidate", score.alias("score")).filter("score > 0")
+    scored = low.join(named, F.contains(F.col("_path"), name) | F.contains(F.col("_body"), name)).select("file", "candidate", score.alias("score")).filter("score > 0")
     best = scored.groupBy("file").agg(F.max(F.struct("score", "candidate")).alias("b"))
     return docs.select("file").distinct().join(best, "file", "left").select("file", F.coalesce("b.candidate", F.lit("inbox")).alias("project"), F.coalesce("b.score", F.lit(0)).alias("score"))

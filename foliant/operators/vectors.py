@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ANN_FROM = 5000  # rows from which approximate search is worth an index
@@ -38,15 +39,49 @@ def search_vector(vectors: DataFrame, query: Sequence[float], limit: int, projec
 
 
 def search_batch(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """Top k for every (qid, query) at once. queries is a stated set that is checked for its size before it is broadcast; above
-    100 000 rows it is refused, and the graph search is the way."""
-    from pyspark.sql import Window as W
+    """Top k for every (qid, query) at once: qid, project, file, chunk_id, score, rank. queries is a stated set of at most 100 000
+    rows, which is checked; beyond that the graph search is the way. Each Arrow batch of vectors meets the queries as matrices and
+    sends on its best k a query."""
+    from collections.abc import Iterator
 
-    if queries.limit(100_001).count() > 100_000:
+    import numpy as np
+    import pandas as pd
+
+    asked = queries.select(F.col("qid").cast("string").alias("qid"), F.col("query").cast("array<double>")).limit(100_001).collect()
+    if len(asked) > 100_000:
         raise ValueError("too many queries for an exact scan")
-    pairs = vectors.crossJoin(F.broadcast(queries)).select("qid", "project", "file", "chunk_id", cosine(F.col("embedding"), F.col("query")).alias("score")).filter("score > 0")
+    asked = [r for r in asked if r[1] and all(x is not None for x in r[1])]
+    handed = vectors.sparkSession.sparkContext.broadcast([(r[0], np.asarray(r[1])) for r in asked])
+    kind = dict(queries.dtypes)["qid"]
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by_width: dict[int, list[int]] = {}
+        for i, (_, q) in enumerate(handed.value):
+            by_width.setdefault(len(q), []).append(i)
+        names = np.array([n for n, _ in handed.value], dtype=object)
+        sides = {w: (names[at], unit(np.stack([handed.value[i][1] for i in at]))) for w, at in by_width.items()}
+        for b in batches:
+            width = b["embedding"].map(lambda e: -1 if e is None else len(e))
+            for w, (qids, q) in sides.items():
+                rows = b[width == w]
+                if not len(rows):
+                    continue
+                x = unit(np.stack(rows["embedding"].to_numpy()).astype(np.float64))
+                for start in range(0, len(qids), 1000):
+                    sims = q[start : start + 1000] @ x.T
+                    # ties at the edge of the best stay in, so that the final order decides them
+                    edge = np.partition(sims, -min(limit, len(rows)), axis=1)[:, -min(limit, len(rows))][:, None] if limit > 0 else np.inf
+                    i, j = np.nonzero((sims >= edge - 1e-12) & (sims > 0))
+                    yield rows[["project", "file", "chunk_id"]].iloc[j].reset_index(drop=True).assign(qid=qids[start + i], score=sims[i, j])
+
+    found = vectors.select("project", "file", "chunk_id", "embedding").mapInPandas(run, "project string, file string, chunk_id long, qid string, score double")
     w = W.partitionBy("qid").orderBy(F.desc("score"), "project", "file", "chunk_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    best = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    return best.select(F.col("qid").cast(kind).alias("qid"), "project", "file", "chunk_id", "score", "rank")
 
 
 def search_lsh(vectors: DataFrame, query: Sequence[float], limit: int, project: str | None = None, bucket: float = 0.5, tables: int = 6, seed: int = 7) -> DataFrame:
