@@ -282,14 +282,23 @@ def nearest(graph: Graph) -> DataFrame:
     return mine.unionByName(twins).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def members(graph: Graph) -> DataFrame:
+    """(id, model, vec) of every row of the graph, copies included."""
+    others = graph.copies.filter("id <> rep").join(graph.vertices.withColumnRenamed("id", "rep"), "rep")
+    return graph.vertices.select("id", "model", "vec").unionByName(others.select("id", "model", "vec"))
+
+
 def search(graph: Graph, queries: DataFrame, k: int = 5, beam: int = 16, entries: int = 48, max_steps: int = 8, broadcast_bytes: int = 32_000_000) -> DataFrame:
     """(q, id, s, rank): greedy search of the graph for query vectors (q, model, vec), all queries in step. Every query
     starts at the same `entries` vertices of its model; each step scores the unvisited neighbours, in both directions, of
-    its beam's unexpanded vertices, and a query ends when its beam has none left."""
+    its beam's unexpanded vertices, and a query ends when its beam has none left. Equal queries are searched once, and every
+    vertex found stands for its first k copies."""
     v = graph.vertices
     hashed = F.row_number().over(W.partitionBy("model").orderBy(F.xxhash64("id")))
     start = v.withColumn("h", hashed).filter(F.col("h") <= entries).select("model", F.col("id").alias("u"))
-    queries = cut(queries.select("q", "model", F.col("vec").alias("a")))
+    everyone = cut(queries.select("q", "model", F.col("vec").alias("a")))
+    queries = cut(everyone.groupBy("model", "a").agg(F.min("q").alias("q")))
+    equal = everyone.join(queries.withColumnRenamed("q", "head"), ["model", "a"]).select("q", "head")
     size = queries.agg(F.sum(F.length("a") + 64)).first()[0] or 0
     # a query set of proven size goes to every task, so that only ids cross the network; a larger one is joined
     asked = queries.select("q", "a")
@@ -318,4 +327,8 @@ def search(graph: Graph, queries: DataFrame, k: int = 5, beam: int = 16, entries
             seen = grown
             break
         seen = grown
-    return seen.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k).select("q", F.col("u").alias("id"), "s", "rank")
+    best = seen.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= k).drop("r")
+    first = graph.copies.withColumn("at", F.row_number().over(W.partitionBy("rep").orderBy("id"))).filter(F.col("at") <= k)
+    told = best.join(first.select(F.col("rep").alias("u"), F.col("id").alias("o")), "u", "left").select(F.col("q").alias("head"), F.coalesce("o", "u").alias("id"), "s")
+    rank = F.row_number().over(W.partitionBy("head").orderBy(F.desc("s"), "id"))
+    return equal.join(told.withColumn("rank", rank).filter(F.col("rank") <= k), "head").select("q", "id", "s", "rank")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.llm import neighbours
@@ -25,10 +26,12 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Greedy search for every vertex whose id is divisible by 20."""
+    """Greedy search for every usable row whose id is divisible by 20, a copy or not: the five most similar others."""
     graph = _graph(spark, sf)
-    queries = graph.vertices.filter("id % 20 = 0").select(F.col("id").alias("q"), "model", "vec")
-    return neighbours.search(graph, queries, 6).filter("q <> id").select(F.col("q").alias("vec_id"), F.col("id").alias("neighbour_id"), F.round(F.col("s").cast("double"), 4).alias("similarity"))
+    queries = neighbours.members(graph).filter("id % 20 = 0").select(F.col("id").alias("q"), "model", "vec")
+    # six, as the row itself may be among them; among many copies it need not be
+    found = neighbours.search(graph, queries, 6).filter("q <> id").withColumn("place", F.row_number().over(W.partitionBy("q").orderBy("rank"))).filter("place <= 5")
+    return found.select(F.col("q").alias("vec_id"), F.col("id").alias("neighbour_id"), F.round(F.col("s").cast("double"), 4).alias("similarity"))
 
 
 QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p3_search": p3_search}

@@ -60,6 +60,33 @@ def test_copies_are_neighbours_of_each_other(spark):
     assert got[0] == [(100 + i, 1.0) for i in range(5)] and got[108] == [(0, 1.0)] + [(100 + i, 1.0) for i in range(4)] and got[1][0] == (200, 1.0) and got[200][0] == (1, 1.0)
 
 
+def test_search_answers_copies_and_finds_them(spark):
+    x = clustered(60, seed=4)
+    rows = [(i, "m", v) for i, v in enumerate(x)] + [(100 + i, "m", x[0] * 4) for i in range(9)] + [(200, "m", x[1])]
+    g = nb.build(usable(spark, rows))
+    queries = nb.members(g).withColumnRenamed("id", "q")
+    assert sorted(r.q for r in queries.collect()) == sorted(i for i, _, _ in rows)
+    got = {}
+    for r in nb.search(g, queries, 6).orderBy("q", "rank").collect():
+        got.setdefault(r.q, []).append(r.id)
+    assert got[0] == got[108] == [0] + [100 + i for i in range(5)] and got[200][:2] == [1, 200] and set(got) == {i for i, _, _ in rows}
+
+
+def test_the_query_answers_every_row(spark, tmp_path):
+    from foliant.llm import vector_queries
+
+    x = clustered(30, seed=6)
+    rows = [(i, "m", v) for i, v in enumerate(x)] + [(100 + i, "m", x[3]) for i in range(50)]
+    frame(spark, rows).select("vec_id", "model", "embedding", "at").withColumnRenamed("at", "cached_at").write.parquet(f"{tmp_path}/embedding_cache.parquet")
+    spark.createDataFrame([("m", 16)], "model string, dimension int").write.parquet(f"{tmp_path}/vector_meta.parquet")
+    got = {}
+    for r in vector_queries.p3_search(spark, str(tmp_path)).collect():
+        got.setdefault(r.vec_id, set()).add(r.neighbour_id)
+    crowd = [3] + list(range(100, 150))
+    assert set(got) == {0, 20, 100, 120, 140} and all(len(v) == 5 for v in got.values())
+    assert all(got[q] == set([i for i in crowd if i != q][:5]) for q in (100, 120, 140))
+
+
 def test_what_takes_no_part(spark):
     nan, inf = float("nan"), float("inf")
     good = [1.0] * 15 + [0.5]
