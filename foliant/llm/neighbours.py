@@ -22,7 +22,7 @@ fewer than k others give fewer neighbours; an empty table gives no rows; other c
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -132,7 +132,8 @@ class Tree:
 @dataclass
 class Graph:
     """edges (v, u, s): the k + spare best known neighbours of each vertex; vertices (id, model, vec): one
-    of each class of copies; copies (id, rep): members of classes with more than one; trees: for entry points."""
+    of each class of copies; copies (id, rep): members of classes with more than one; leaves: (id, model, vec) to
+    (leaf, piece, id, vec) through the trees, for entry points; none without vertices."""
 
     edges: DataFrame
     vertices: DataFrame
@@ -140,6 +141,7 @@ class Graph:
     k: int
     rounds: int
     moved: list[int]
+    leaves: Callable[[DataFrame], DataFrame] | None = None
 
 
 def build(
@@ -181,14 +183,19 @@ def build(
             x, models = _matrix(batch.column("vec"), np.float32), np.array(batch.column("model").to_pylist())
             for m in np.unique(models):
                 mine = np.flatnonzero(models == m)
-                for t, tree in enumerate(forest[m]):
+                for t, tree in enumerate(forest.get(m, [])):
                     leaf = tree.leaf(x[mine], depth[m])
                     names = [f"{m}/{t}/{i}" for i in leaf]
                     yield pa.RecordBatch.from_arrays([pa.array(names), batch.column("id").take(pa.array(mine)), batch.column("vec").take(pa.array(mine))], names=["leaf", "id", "vec"])
 
     routed = vertices.select("id", "model", "vec").mapInArrow(route, "leaf string, id long, vec binary")
     full = routed.groupBy("leaf").count().filter(F.col("count") > 5 * leaf_rows).select("leaf", F.ceil(F.col("count") / (4 * leaf_rows)).alias("pieces"))
-    routed = routed.join(full, "leaf", "left").withColumn("piece", F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1))))
+
+    def leaves(df: DataFrame) -> DataFrame:
+        df = df.select("id", "model", "vec").mapInArrow(route, "leaf string, id long, vec binary").join(full, "leaf", "left")
+        return df.withColumn("piece", F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1))))
+
+    routed = leaves(vertices)
 
     def brute(table: pa.Table) -> pa.Table:
         x, ids = _matrix(table.column("vec"), np.float32), table.column("id").to_numpy()
@@ -259,7 +266,7 @@ def build(
             break
 
     best = edges.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy(F.desc("s"), "u"))).filter(F.col("r") <= k + 4)
-    return Graph(cut(best.select("v", "u", "s")), vertices.drop("n"), copies, k, len(moved), moved)
+    return Graph(cut(best.select("v", "u", "s")), vertices.drop("n"), copies, k, len(moved), moved, leaves)
 
 
 def nearest(graph: Graph) -> DataFrame:
@@ -288,14 +295,16 @@ def members(graph: Graph) -> DataFrame:
     return graph.vertices.select("id", "model", "vec").unionByName(others.select("id", "model", "vec"))
 
 
-def search(graph: Graph, queries: DataFrame, k: int = 5, beam: int = 16, entries: int = 48, max_steps: int = 8, broadcast_bytes: int = 32_000_000) -> DataFrame:
-    """(q, id, s, rank): greedy search of the graph for query vectors (q, model, vec), all queries in step. Every query
-    starts at the same `entries` vertices of its model; each step scores the unvisited neighbours, in both directions, of
-    its beam's unexpanded vertices, and a query ends when its beam has none left. Equal queries are searched once, and every
-    vertex found stands for its first k copies."""
+def search(graph: Graph, queries: DataFrame, k: int = 5, beam: int = 16, broadcast_bytes: int = 32_000_000) -> DataFrame:
+    """(q, id, s, rank): greedy search of the graph for query vectors (q, model, vec), all queries in step. A query falls into
+    one leaf of every tree of its model (one piece of it, where a leaf was cut) and starts at the `beam` best vertices of each
+    and, for queries whose leaves are empty, `beam` vertices that all queries of the model share; each step scores the unvisited neighbours, in both directions, of its beam's unexpanded vertices, and a query ends when
+    its beam has none left; there is no other limit. Equal queries are searched once, and every vertex found stands for its
+    first k copies."""
     v = graph.vertices
-    hashed = F.row_number().over(W.partitionBy("model").orderBy(F.xxhash64("id")))
-    start = v.withColumn("h", hashed).filter(F.col("h") <= entries).select("model", F.col("id").alias("u"))
+    if graph.leaves is None:
+        return v.sparkSession.createDataFrame([], "q long, id long, s float, rank int")
+    queries = queries.filter("model is not null")
     everyone = cut(queries.select("q", "model", F.col("vec").alias("a")))
     queries = cut(everyone.groupBy("model", "a").agg(F.min("q").alias("q")))
     equal = everyone.join(queries.withColumnRenamed("q", "head"), ["model", "a"]).select("q", "head")
@@ -317,8 +326,23 @@ def search(graph: Graph, queries: DataFrame, k: int = 5, beam: int = 16, entries
     links = graph.edges.select("v", "u")
     links = cut(links.unionByName(links.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct())
     top = W.partitionBy("q").orderBy(F.desc("s"), "u")
-    seen = cut(scored(queries.select("q", "model").join(start, "model").select("q", "u")))
-    for _ in range(max_steps):
+
+    def enter(table: pa.Table) -> pa.Table:
+        asks = table.column("query").to_numpy(zero_copy_only=False)
+        x, ids = _matrix(table.column("vec"), np.float32), table.column("id").to_numpy()
+        a, b, qs, us = x[asks], x[~asks].T, ids[asks], ids[~asks]
+        keep = min(beam, len(us))
+        got = [np.argpartition(-(a[i : i + 1024] @ b), keep - 1, axis=1)[:, :keep] for i in range(0, len(qs) if keep else 0, 1024)]
+        return pa.table({"q": pa.array(np.repeat(qs, keep), pa.int64()), "u": pa.array(us[np.concatenate(got)].ravel() if got else us[:0], pa.int64())})
+
+    asking = graph.leaves(queries.select(F.col("q").alias("id"), "model", F.col("a").alias("vec")))
+    held = graph.leaves(v).join(asking.select("leaf", "piece").distinct(), ["leaf", "piece"], "left_semi")  # leaves without queries stay where they are
+    sides = [df.select("leaf", "piece", "id", "vec", F.lit(side).alias("query")) for df, side in ((held, False), (asking, True))]
+    near = sides[0].unionByName(sides[1]).groupBy("leaf", "piece").applyInArrow(enter, "q long, u long")
+    hashed = F.row_number().over(W.partitionBy("model").orderBy(F.xxhash64("id")))
+    shared = v.withColumn("h", hashed).filter(F.col("h") <= beam).select("model", F.col("id").alias("u"))
+    seen = cut(scored(near.unionByName(queries.join(shared, "model").select("q", "u")).distinct()))
+    while True:
         held = seen.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= beam)
         front = held.filter("done = 0").select("q", F.col("u").alias("v"))
         reach = front.join(links, "v").select("q", "u").distinct().join(seen.select("q", "u"), ["q", "u"], "left_anti")

@@ -72,6 +72,34 @@ def test_search_answers_copies_and_finds_them(spark):
     assert got[0] == got[108] == [0] + [100 + i for i in range(5)] and got[200][:2] == [1, 200] and set(got) == {i for i, _, _ in rows}
 
 
+def test_search_reaches_every_island(spark):
+    """Two hundred groups far apart, each without an edge to another: more than any fixed set of entries would cover."""
+    r = np.random.default_rng(8)
+    x = np.repeat(r.standard_normal((200, 16)), 12, axis=0) + 0.01 * r.standard_normal((2400, 16))
+    g = nb.build(usable(spark, [(i, "m", v) for i, v in enumerate(x)]), trees=4, leaf_rows=60)
+    want = brute(np.arange(2400), x, 5)
+    found = nb.search(g, nb.members(g).filter("id % 8 = 0").withColumnRenamed("id", "q"), 6).filter("q <> id").collect()
+    assert sum(r.id in want[r.q] for r in found) >= 0.98 * 5 * 300
+
+
+def test_search_walks_as_far_as_it_must(spark):
+    """A chain of which no leaf gives an entry near the query."""
+    n = 60
+    at = np.arange(n) * np.pi / 2 / n
+    x = np.zeros((n, 16), dtype=np.float32)
+    x[:, 0], x[:, 1] = np.cos(at), np.sin(at)
+    g = nb.build(usable(spark, [(i, "m", v) for i, v in enumerate(x)]))
+    g.edges = spark.createDataFrame([(i, i + 1, float(x[i] @ x[i + 1])) for i in range(n - 1)], nb.EDGE)
+    whole, vertices = g.leaves, g.vertices
+    g.leaves = lambda df: whole(df).filter("false" if df is vertices else "true")
+    # the hash picks two vertices for all; the walk from them to the end that is farther off takes more than eight steps
+    picked = [r.id for r in vertices.selectExpr("id", "xxhash64(id) h").orderBy("h").limit(2).collect()]
+    far = max((0, n - 1), key=lambda e: min(abs(e - p) for p in picked))
+    assert min(abs(far - p) for p in picked) > 8
+    found = nb.search(g, vertices.filter(f"id = {far}").withColumnRenamed("id", "q"), 1, beam=2).collect()
+    assert [r.id for r in found] == [far]
+
+
 def test_the_query_answers_every_row(spark, tmp_path):
     from foliant.llm import vector_queries
 
