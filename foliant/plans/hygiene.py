@@ -13,7 +13,7 @@ from foliant.plans.retrieval import CHUNKS, Q1, Q2, _bm25, chunks
 from foliant.sources.tables import docs, table
 from foliant.streaming.rate_limit import rate_limit
 
-# shipped fixture: a small corpus with links, drafts, markers and policies, which the tables lack
+# shipped fixture: a small corpus with links, drafts, markers and policies, with known answers; the queries of the same names with _tables run over the tables
 FIXTURE = [
     ("alpha", "README.md", "# Start\n\nSee [[PRD]] and [setup](docs/setup.md#top).\n"),
     ("alpha", "PRD.md", "# Product\n\n## Goals\n\n- one\n- two\n* three\n\n## Scope\n\nWIP: as of 2018 (2019). Links to [[missing-note]] and [arch](ARCHITECTURE.md). " + "More text. " * 10),
@@ -265,6 +265,65 @@ def repo_actions(spark, sf):
     return policy.repo_actions(fixture(spark))
 
 
+def _texts(spark, sf):
+    """documents by project and file; of rows of one file the last counts."""
+    d = table(spark, sf, "documents").select(T.text("project").alias("project"), T.text("file").alias("file"), "doc_id", T.text("text").alias("content"))
+    last = d.groupBy("project", "file").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "content")).alias("r"))
+    return last.select("project", "file", "r.content", T.extension(F.col("file")).alias("ext"))
+
+
+def _joined(spark, sf):
+    """Stored chunks put together, in their order, to one document per file."""
+    c = chunks(spark, sf).groupBy("project", "file").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "body"))).alias("c"))
+    return c.select("project", "file", F.array_join(F.transform("c", lambda x: x["body"]), "\n").alias("content"), T.extension(F.col("file")).alias("ext"))
+
+
+def graph_edges_tables(spark, sf):
+    return graph.build_graph(_joined(spark, sf))[1]
+
+
+def _most_linked(edges, end):
+    """The document at that end of the most edges, '' without edges."""
+    row = edges.groupBy(end).count().orderBy(F.desc("count"), end).first()
+    return row[end] if row else ""
+
+
+def backlinks_tables(spark, sf):
+    """What links to the document that most links lead to."""
+    g = graph.build_graph(_joined(spark, sf))
+    return graph.backlinks(g, _most_linked(g[1], "target"), NOW)
+
+
+def related_tables(spark, sf):
+    """Where the document with the most links leads."""
+    g = graph.build_graph(_joined(spark, sf))
+    return graph.related(g, _most_linked(g[1], "source"), NOW)
+
+
+def policy_status_tables(spark, sf):
+    return policy.validate(_texts(spark, sf), POLICY).select("project", "file", "status", "reason", F.array_join(F.transform("sections", lambda s: F.concat_ws(":", s["heading"], s["status"], s["detail"])), ";").alias("sections"))
+
+
+def policy_rollup_tables(spark, sf):
+    return policy.roll_up(policy.validate(_texts(spark, sf), SPLIT_RULES))
+
+
+def audit_tables(spark, sf):
+    return policy.audit(_texts(spark, sf))
+
+
+def audit_summary_tables(spark, sf):
+    return policy.audit_summary(policy.audit(_texts(spark, sf)))
+
+
+def repo_actions_tables(spark, sf):
+    return policy.repo_actions(_texts(spark, sf))
+
+
+def overview_tables(spark, sf):
+    return policy.overview(_texts(spark, sf)).select("project", "file", F.col("size_bytes").cast("long").alias("size_bytes"), "tier")
+
+
 def promote_score(spark, sf):
     """Project each document seems to belong to, by the names of all projects."""
     d = docs(spark, sf)
@@ -299,7 +358,7 @@ def bm25_batch(spark, sf):
     return search.bm25_batch(chunks(spark, sf), {"a": Q1, "b": Q2}, 20).select("qid", "project", "file", "chunk_id", F.round("score", 6).alias("score"))
 
 
-NAMES = "doc_file_filter tier_classify hint_classify name_policy sanitize_query slugs title_extract doc_status front_matter draft_filter slice_and_truncate result_buckets embedding_keys model_sizes config_overlay chunk_documents section_check list_item_count link_extract link_targets graph_edges backlinks related expired_nodes expired_documents lint_fixture lint_summary orphan_files changes change_report incremental_merge missing_vectors id_stamp projects_summary disk_usage overview policy_status policy_rollup audit audit_summary repo_actions promote_score code_outline code_languages code_markdown rate_limit_admit bm25_batch".split()
+NAMES = "doc_file_filter tier_classify hint_classify name_policy sanitize_query slugs title_extract doc_status front_matter draft_filter slice_and_truncate result_buckets embedding_keys model_sizes config_overlay chunk_documents section_check list_item_count link_extract link_targets graph_edges backlinks related expired_nodes expired_documents lint_fixture lint_summary orphan_files changes change_report incremental_merge missing_vectors id_stamp projects_summary disk_usage overview policy_status policy_rollup audit audit_summary repo_actions promote_score code_outline code_languages code_markdown rate_limit_admit bm25_batch graph_edges_tables backlinks_tables related_tables policy_status_tables policy_rollup_tables audit_tables audit_summary_tables repo_actions_tables overview_tables".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 

@@ -31,3 +31,21 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_hygiene_reads_the_tables(spark, sf, con):
+    """Every operator that has a query over the fixture has one over the tables: none of their files is left out."""
+    q = catalogue.QUERIES
+    files = "select distinct coalesce(project, '') as project, coalesce(file, '') as file from documents"
+    want = {tuple(r) for r in con.execute(files).fetchall()}
+    projects = {p for p, _ in want}
+    shown = q["overview_tables"](spark, sf).collect()
+    assert {(r.project, r.file) for r in shown} <= want and len(shown) == len({(r.project, r.file) for r in shown}) > 10
+    for name in ("policy_status_tables", "policy_rollup_tables", "audit_summary_tables", "repo_actions_tables", "audit_tables"):
+        assert {r.project for r in q[name](spark, sf).select("project").distinct().collect()} == projects, name
+    ids = {(p + "/" if p else "") + f for p, f in con.execute("select distinct coalesce(project, ''), coalesce(file, '') from index_chunks").fetchall()}
+    edges = q["graph_edges_tables"](spark, sf).collect()
+    assert edges and {e.source for e in edges} | {e.target for e in edges} <= ids
+    # links do not cross chunks here, so that the files' edges are at least those of the single chunks
+    single = {(r.source, r.to) for r in q["link_targets"](spark, sf).filter("`to` is not null").collect()}
+    assert single <= {(e.source, e.target) for e in edges}
