@@ -73,7 +73,7 @@ def sanitize_query(spark, sf):
 
 
 def slugs(spark, sf):
-    return chunks(spark, sf).select("title").distinct().filter(F.col("title").rlike(r"^[\x00-\x7F]*$")).select("title", T.slug(F.col("title")).alias("slug"))
+    return chunks(spark, sf).select("title").distinct().select("title", T.slug(F.col("title")).alias("slug"))
 
 
 def title_extract(spark, sf):

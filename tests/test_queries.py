@@ -49,3 +49,11 @@ def test_hygiene_reads_the_tables(spark, sf, con):
     # links do not cross chunks here, so that the files' edges are at least those of the single chunks
     single = {(r.source, r.to) for r in q["link_targets"](spark, sf).filter("`to` is not null").collect()}
     assert single <= {(e.source, e.target) for e in edges}
+
+
+def test_every_title_has_a_slug(spark, tmp_path):
+    """Titles in other alphabets, which the given tables lack, are not left out."""
+    titles = {"Größe & Maß": "größe-maß", "정책 문서!": "정책-문서", "Año (fiscal)": "año-fiscal", "Read Me": "read-me", "": ""}
+    rows = [("p", "f.md", "f.md", t, i, "x", 1) for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "project string, file string, filename string, title string, chunk_id long, body string, line_start int").write.parquet(f"{tmp_path}/index_chunks.parquet")
+    assert {r.title: r.slug for r in catalogue.QUERIES["slugs"](spark, str(tmp_path)).collect()} == titles
