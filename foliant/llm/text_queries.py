@@ -16,7 +16,7 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    rows = markup.residue(_chunks(spark, sf), KEY, "title", "body")
+    rows = markup.residue(_chunks(spark, sf), KEY, "title", "body", texts=False)
     return rows.select(*KEY, F.explode("markup").alias("markup")).distinct()
 
 

@@ -245,6 +245,70 @@ def test_dense_content_wins_over_link_lists():
     assert "Real content" in got and "# Title" in got and "go 7" not in got
 
 
+ARTICLE = "<div class='article'>" + "".join(f"<p>Paragraph {i} tells at length what was decided, why it was decided, and what follows from it for all teams.</p>" for i in range(4)) + "</div>"
+
+
+@pytest.mark.parametrize(
+    "boilerplate",
+    ["<div><span>Home</span> <span>Products</span> <span>Contact</span></div>", "<div>We use cookies.</div>", "<ul><li>Home</li><li>Products</li><li>Contact</li></ul>", "<nav><p>Home</p><p>Products</p><p>Contact</p></nav>"],
+)
+def test_boilerplate_without_links_is_left_out(boilerplate):
+    got = markup.clean(f"<body><h1>Plan</h1>{boilerplate}{ARTICLE}<pre>a = 1</pre><table><tr><td>x</td><td>y</td></tr></table></body>")
+    assert got.startswith("# Plan") and all(f"Paragraph {i} " in got for i in range(4)) and "```\na = 1\n```" in got and "x | y" in got
+    assert not any(word in got for word in ("Home", "Products", "Contact", "cookies"))
+
+
+def test_second_section_stays():
+    """Not only the subtree of the greatest sum: every block that reaches the threshold is content."""
+    section = "<section>" + "<p>One more sentence of the plan, long enough to count as running text and not as a label or a notice, because it goes on and on.</p>" * 2 + "</section>"
+    got = markup.clean(section + ARTICLE)
+    assert got.count("One more sentence") == 2 and "Paragraph 3" in got
+
+
+def test_running_text_beside_elements_stays():
+    assert markup.clean("Intro stays.\n\n" + ARTICLE + "\n\nEnd **stays**.").startswith("Intro stays.") and markup.clean(ARTICLE + "\n\nEnd **stays**.").endswith("End stays.")
+
+
+@pytest.mark.parametrize("terms", [10, 60, 2000])
+def test_long_formulas(terms):
+    text = "See $" + " + ".join(f"x_{{{i}}}" for i in range(terms)) + "$ here"
+    assert markup.languages(text) == {"latex"} and markup.clean(text) == text
+
+
+def test_deep_nesting():
+    assert markup.clean("a{{a|{{b|{{c|{{d|{{e|{{f}}}}}}}}}}}}z") == "az"
+    assert markup.clean("\\textbf{" * 50 + "z" + "}" * 50) == "z"
+    assert markup.clean("<div>" * 5000 + "hello") == "hello" and markup.languages("<div>" * 5000 + "hello") == {"html"}
+    assert markup.clean("[![alt](a.png)](b) and [![c](d)](e)") == "alt and c"
+
+
+def test_private_use_characters_are_text():
+    assert markup.clean("a\ue0007\ue001b") == "a\ue0007\ue001b"
+    assert markup.clean("a\ue0000\ue001b `c`") == "a\ue0000\ue001b c"
+
+
+@pytest.mark.parametrize(
+    "piece,n",
+    [("`" * 7 + "a" + "`" * 3 + "b", 90_000), ("[a", 300_000), ("![a](b)", 100_000), ("*_", 200_000), ("''a ", 200_000), ("{{a|", 200_000), ("\\[ ", 200_000), ("<source>", 100_000), ("\\item ", 100_000), ("$a ", 200_000), ("<div>", 100_000)],
+)
+def test_linear_on_hostile_texts(piece, n):
+    """A megabyte of what never closes: twice the text takes about twice the time."""
+    import time
+
+    def took(text):
+        began = time.process_time()
+        parsed = markup.Parsed(text)
+        parsed.languages(), parsed.text()
+        return time.process_time() - began
+
+    short, long = min(took("[" + piece * (n // 8)) for _ in range(2)), took("[" + piece * n)
+    assert long < 30 and long < 8 * 5 * max(short, 0.02)
+
+
+def test_code_stays_as_it_is():
+    assert markup.clean("a\n\n\n\nb\n```\nx  \n\n\n\ny\n```\nend") == "a\n\nb\n\n```\nx  \n\n\n\ny\n```\n\nend"
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="ab<>&;*_`#[](){}|$\\'=~-\n 1.!/", max_size=120))
 def test_never_crashes(text):
