@@ -7,8 +7,13 @@ of all documents, with every rate between 0 and the repeats that its memberships
 Membership: a document with a source belongs to it wholly. For one without, a naive Bayes classifier over hashed words,
 fitted to a bounded sample of labelled documents (`sample_rows`, by hash) and tempered on its held-out half, gives the
 posterior. Documents of one source share every gradient, so they enter as one row per source; those with a soft membership
-are kept in a table of (tokens, posterior), and one step is one aggregate of as many numbers as there are targets. Rates are
-replayed from the residuals of the earlier steps, so no step writes anything.
+are kept in a table of (tokens, posterior, rate), and one step is one aggregate over it of as many numbers as there are targets.
+Every `window` steps the rates are written with it, so a pass replays fewer than `window` steps: at most `steps` passes and
+`steps` / `window` writes, fewer where the rates settle.
+
+Whether a source can reach its share is a matter of its own documents. The descent is therefore continued from the solved
+mix with the soft documents held at rate 0, over one row per source: a source whose rate comes to rest at its cap with its expected
+tokens short of the target cannot.
 
 Names are compared trimmed and in lower case, and come out as the targets spell them. All sources without a target are one
 class, '(other)', with target 0.
@@ -96,9 +101,9 @@ class Classifier:
         return self.predict_rows([features(t) for t in texts])
 
 
-def _step_rates(p: np.ndarray, cap: np.ndarray, history: list[np.ndarray], start: float) -> np.ndarray:
+def _step_rates(p: np.ndarray, cap: np.ndarray, history: list[np.ndarray], start: float | np.ndarray) -> np.ndarray:
     """Rates after the projected steps of the history: r <- clip(r - P residual, 0, cap)."""
-    r = np.minimum(np.full(len(p), start), cap)
+    r = np.minimum(np.broadcast_to(start, len(p)), cap)
     for residual in history:
         r = np.clip(r - p @ residual, 0.0, cap)
     return r
@@ -106,29 +111,48 @@ def _step_rates(p: np.ndarray, cap: np.ndarray, history: list[np.ndarray], start
 
 @dataclass
 class Mix:
-    """names: targets and '(other)' last; rates: of wholly labelled documents by class; soft: documents of soft membership
-    (key, tokens, posterior); history: the residuals, from which any document's rate follows."""
+    """names: targets and '(other)' last; rates: of wholly labelled documents by class; own_rates: the same where they alone count;
+    passes: over the documents of soft membership; history: the residuals, from which any document's rate follows."""
 
     names: list[str]
     share: np.ndarray
     repeats: np.ndarray
     measured: DataFrame
-    soft: DataFrame
     total: float
     labelled: np.ndarray
     expected: np.ndarray
     rates: np.ndarray
+    own_rates: np.ndarray
     history: list[np.ndarray]
+    passes: int
     key: str
 
     def light(self) -> Mix:
         """Without the tables, for workers."""
-        return replace(self, measured=None, soft=None)
+        return replace(self, measured=None)
+
+    def short(self) -> np.ndarray:
+        """Per class whether its own documents, used as often as allowed, stay short of the target: their rate has come to rest at
+        the cap, and what they give there is less than the target; that last comparison is exact."""
+        goal = self.share * self.total
+        at_cap = self.own_rates >= self.repeats - 1e-6
+        return at_cap & (self.repeats * self.labelled < goal)
+
+
+def _own(labelled: np.ndarray, goal: np.ndarray, repeats: np.ndarray, rates: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
+    """The projected gradient over wholly labelled documents alone, from the rates given until they rest. Every step leaves a
+    fifth of the distance, so some 15 are enough; no data are read."""
+    scale = np.where(labelled > 0, labelled, 1.0)
+    while True:
+        after = np.clip(rates - 0.8 * (rates * labelled - goal) / scale, 0.0, repeats)
+        if np.abs(after - rates).max() <= tolerance:
+            return after
+        rates = after
 
 
 def solve(
     df: DataFrame, targets: list[tuple[str, float, int]], key: str = "doc_id", text: str = "text", source: str = "source",
-    sample_rows: int = 4000, steps: int = 40, vocabulary: str = tokens.RANKS,
+    sample_rows: int = 4000, steps: int = 40, window: int = 8, vocabulary: str = tokens.RANKS,
 ) -> Mix:
     """Fit the mix. targets: (source, target_share, max_repeats), a small fixed table."""
     spark = df.sparkSession
@@ -166,38 +190,55 @@ def solve(
     sums = {r[0]: float(r[1] or 0) for r in measured.groupBy("label").agg(F.sum("tokens")).collect()}  # one row per target
     labelled = np.array([sums.get(j, 0.0) for j in range(other + 1)])
     total = sum(sums.values())
-    soft = measured.filter("label < 0").select(key, "tokens", "posterior")
+    goal, eye, start = share * total, np.eye(other + 1), 1.0
+    has_soft = sums.get(-1, 0.0) > 0
+    soft = measured.filter("label < 0").select("tokens", "posterior", F.lit(start).alias("rate"))
+    soft_schema = "tokens int, posterior array<float>, rate double"
+    passes = 0
+
+    def moved(batch: pd.DataFrame, recent: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        p = np.stack(batch["posterior"].to_numpy()).astype(float)
+        return p, _step_rates(p, p @ repeats, recent, batch["rate"].to_numpy())
 
-    def masses(history: list[np.ndarray], start: float | None) -> np.ndarray:
-        """Expected tokens per class of the soft documents; at rate 1 if start is None."""
+    def masses(recent: list[np.ndarray] | None) -> np.ndarray:
+        """Expected tokens per class of the soft documents, `recent` steps after their written rates; at rate 1 if None."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out = np.zeros(other + 1)
             for batch in batches:
                 if len(batch):
-                    p = np.stack(batch["posterior"].to_numpy()).astype(float)
-                    r = np.ones(len(p)) if start is None else _step_rates(p, p @ repeats, history, start)
-                    out += (r * batch["tokens"].to_numpy()) @ p
+                    p, r = moved(batch, recent or [])
+                    out += ((1.0 if recent is None else r) * batch["tokens"].to_numpy()) @ p
             yield pd.DataFrame({"j": range(other + 1), "m": out})
 
-        got = soft.mapInPandas(run, "j int, m double").groupBy("j").agg(F.sum("m")).collect()
+        nonlocal passes
+        passes += 1
+        got = soft.mapInPandas(run, "j int, m double").groupBy("j").agg(F.sum("m")).collect()  # one row per target
         return np.array([v for _, v in sorted(got)]) if got else np.zeros(other + 1)
 
-    goal = share * total
-    has_soft = sums.get(-1, 0.0) > 0
-    scale = labelled + (masses([], None) if has_soft else 0.0)
+    def written(recent: list[np.ndarray]) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield batch.assign(rate=moved(batch, recent)[1]) if len(batch) else batch
+
+        return cut(soft.mapInPandas(run, soft_schema))
+
+    scale = labelled + (masses(None) if has_soft else 0.0)
     scale = np.where(scale > 0, scale, 1.0)
-    eye, history, start = np.eye(other + 1), [], 1.0
+    history, recent = [], []
+    rates = np.minimum(np.full(other + 1, start), repeats)
     for _ in range(steps):
-        rates = _step_rates(eye, repeats, history, start)
-        expected = rates * labelled + (masses(history, start) if has_soft else 0.0)
+        expected = rates * labelled + (masses(recent) if has_soft else 0.0)
         step = 0.8 * (expected - goal) / scale
-        history.append(step)
-        if np.abs(_step_rates(eye, repeats, history, start) - rates).max() < 1e-5:
+        history.append(step), recent.append(step)
+        before, rates = rates, _step_rates(eye, repeats, [step], rates)
+        if np.abs(rates - before).max() < 1e-5:
             break
-    rates = _step_rates(eye, repeats, history, start)
-    expected = rates * labelled + (masses(history, start) if has_soft else 0.0)
-    return Mix(names, share, repeats, measured, soft, total, labelled, expected, rates, history, key)
+        if has_soft and len(recent) == window:
+            soft, recent = written(recent), []
+    expected = rates * labelled + (masses(recent) if has_soft else 0.0)
+    own = _own(labelled, goal, repeats, rates)
+    return Mix(names, share, repeats, measured, total, labelled, expected, rates, own, history, passes, key)
 
 
 def _apply(mix: Mix, batch: pd.DataFrame, carry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -241,8 +282,8 @@ def documents(mix: Mix) -> DataFrame:
 
 def report(mix: Mix) -> DataFrame:
     """One row per target: what was asked for, what there is, what the mix gives, soft documents counting by membership.
-    reachable: max_repeats times the source's own tokens cover its share."""
-    light = mix.light()
+    reachable: the source's own documents can give its share, see Mix.short."""
+    light, short = mix.light(), mix.short()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carry, out = np.zeros(len(light.names)), np.zeros(len(light.names))
@@ -257,6 +298,6 @@ def report(mix: Mix) -> DataFrame:
     for j, name in enumerate(mix.names[:-1]):
         goal, most = float(mix.share[j] * mix.total), float(mix.repeats[j] * mix.labelled[j])
         got = used.get(j, 0.0)
-        rows.append((name, float(mix.share[j]), int(mix.repeats[j]), int(mix.labelled[j]), goal, most, float(mix.rates[j]), float(mix.expected[j]), got, got / given, not goal > most))
+        rows.append((name, float(mix.share[j]), int(mix.repeats[j]), int(mix.labelled[j]), goal, most, float(mix.rates[j]), float(mix.expected[j]), got, got / given, not bool(short[j])))
     schema = "source string, target_share double, max_repeats int, source_tokens long, target_tokens double, capacity_tokens double, rate double, expected_tokens double, mix_tokens double, actual_share double, reachable boolean"
     return mix.measured.sparkSession.createDataFrame(rows, schema)

@@ -184,6 +184,22 @@ def test_grade_cases(spark):
     assert reading.grade(df.limit(0), "id", "body", samples).count() == 0
 
 
+def test_found_sources_come_from_the_solved_rates(spark):
+    """Other caps of the solver give other rows; soft documents do not help a source over its bound."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, "alpha beta gamma " * 20, "a") for i in range(10)] + [(20 + i, "delta epsilon zeta " * 20, "b") for i in range(30)] + [(60 + i, "alpha beta gamma " * 20, None) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for most, found in ((2, {"a"}), (6, set())):
+        mix = mixing.solve(df, [("a", 0.5, most), ("b", 0.5, 5)])
+        assert {r.source for r in mixing.report(mix).filter(~F.col("reachable")).collect()} == found
+        at = mix.names.index("a")
+        assert bool(mix.own_rates[at] >= most - 1e-6) == bool(found)
+        mix.own_rates[at] = 0.0  # what the solver says decides
+        assert not mix.short()[at]
+    assert mixing.solve(df, [("a", 0.5, 2), ("b", 0.5, 5)], window=2).expected == pytest.approx(mixing.solve(df, [("a", 0.5, 2), ("b", 0.5, 5)], window=50).expected)
+
+
 # ---- markup
 
 FOUND = {
