@@ -3,8 +3,8 @@
 Work is tracked as sequence numbers within a *shard* (any set of key columns). The processed numbers of a shard are kept
 as disjoint closed intervals; what is due is `available - processed`, so a record that was committed late, with a
 number below the highest processed one, is simply a gap and gets its turn. A run writes its output and the merged
-intervals into a numbered folder, and one atomic create of a commit marker publishes both: a run that dies before it
-leaves nothing visible, and a repeated run finds the same gaps.
+intervals to folders of its own, and one commit marker publishes both: a run that dies before it leaves nothing that counts,
+a repeated run finds the same gaps, and of two runs at the same time one counts and the other finds its work still due.
 
 Shards, not whole sources, are the unit of sorting: a source holding a third of all rows is spread over all of its shards.
 
@@ -14,7 +14,6 @@ all returned when due; empty sources give empty intervals; extra columns pass th
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Callable, Sequence
 
@@ -22,7 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.session import cut
+from foliant.session import cut, shared_dir
+from foliant.sources.markers import Conflict, Markers, fresh
 
 
 def intervals(df: DataFrame, keys: Sequence[str], seq: str = "seq") -> DataFrame:
@@ -75,14 +75,19 @@ def subtract_intervals(available: DataFrame, processed: DataFrame, keys: Sequenc
 
 def rows_in(df: DataFrame, gaps: DataFrame, keys: Sequence[str], seq: str = "seq", width: int = 4096) -> DataFrame:
     """Rows whose number lies in a gap: gaps are cut at multiples of width and joined by (keys, block), so the range condition
-    meets only the gaps of one block."""
+    meets only the gaps of one block. Cutting goes in two steps, first into stretches of `width` blocks, which are spread over
+    the tasks, so that no row makes an array of more than `width` entries unless its gap is longer than width cubed."""
     keys = list(keys)
-    cutup = gaps.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "lo", "hi",
-        F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))).alias("_b"),
+    names = [f"_k{i}" for i in range(len(keys))]
+    stretch = width * width
+    coarse = gaps.select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names)], "lo", "hi",
+        F.explode(F.sequence(F.floor(F.col("lo") / stretch), F.floor(F.col("hi") / stretch))).alias("_c"),
     )
+    part = coarse.select(*names, F.greatest("lo", F.col("_c") * stretch).alias("lo"), F.least("hi", (F.col("_c") + 1) * stretch - 1).alias("hi"))
+    cutup = part.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
     left = df.withColumn("_blk", F.floor(F.col(seq) / width))
-    on = [left[k].eqNullSafe(cutup[f"_k{i}"]) for i, k in enumerate(keys)]
+    on = [left[k].eqNullSafe(cutup[n]) for k, n in zip(keys, names)]
     on += [left["_blk"] == cutup["_b"], left[seq] >= cutup["lo"], left[seq] <= cutup["hi"]]
     return left.join(cutup, on, "left_semi").drop("_blk")
 
@@ -99,58 +104,78 @@ def number(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int,
 class Ledger:
     """Processed intervals and outputs under one folder of a shared file system.
 
-    <path>/out/<n>       output of run n
-    <path>/ledger/<n>    processed intervals after run n
-    <path>/commit/<n>    marker; created last, and only if absent, so of two runs with the same n one wins
+    <path>/out/<folder>      output of a run
+    <path>/ledger/<folder>   processed intervals after it
+    <path>/commit/<n>        marker that names both folders, see Markers
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], seq: str = "seq", schema: str | None = None):
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], seq: str = "seq"):
         self.spark, self.path, self.keys, self.seq = spark, path.rstrip("/"), list(keys), seq
-        jvm = spark._jvm
-        self._root = jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = self._root.getFileSystem(spark._jsc.hadoopConfiguration())
-        self.schema = schema
-
-    def _p(self, *parts: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *map(str, parts))))
+        self._markers = Markers(spark, self.path + "/commit")
 
     def runs(self) -> list[int]:
         """Numbers of the committed runs, ascending."""
-        at = self._p("commit")
-        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+        return [n for n, _ in self._markers.commits()]
 
-    def processed(self, like: DataFrame) -> DataFrame:
-        done = self.runs()
-        if done:
-            return self.spark.read.parquet(f"{self.path}/ledger/{done[-1]}")
+    def _at(self, info: dict, what: str) -> str:
+        return f"{self.path}/{what}/{info[what]}"
+
+    def _processed(self, info: dict, like: DataFrame) -> DataFrame:
+        if info:
+            return self.spark.read.parquet(self._at(info, "ledger"))
         return like.select(*self.keys, F.lit(0).cast("long").alias("lo"), F.lit(-1).cast("long").alias("hi")).limit(0)
 
+    def processed(self, like: DataFrame) -> DataFrame:
+        return self._processed(self._markers.latest()[1], like)
+
+    def adopt(self, done: DataFrame) -> int:
+        """Take over intervals (keys, lo, hi) that another log says are processed, as a commit without output."""
+        base, info = self._markers.latest()
+        return self._commit(base, None, merge_intervals(self._processed(info, done), done, self.keys))
+
     def due(self, source: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(gaps, rows in them)."""
         gaps = subtract_intervals(intervals(source, self.keys, self.seq), self.processed(source), self.keys)
         return gaps, rows_in(source, gaps, self.keys, self.seq)
 
-    def run(self, source: DataFrame, process: Callable[[DataFrame], DataFrame]) -> int | None:
-        """Process what is due and commit it with the merged intervals. Returns the run's number, None if nothing was due."""
-        gaps, rows = self.due(source)
-        gaps = cut(gaps)
+    def run(self, source: DataFrame, process: Callable[[DataFrame], DataFrame], before_commit: Callable[[], None] = lambda: None) -> int | None:
+        """Process what is due and commit it with the merged intervals. Returns the run's number, None if nothing was due; Conflict
+        if another run committed meanwhile. before_commit: called when all is written and nothing published, to check or count
+        what was written; if it raises, nothing counts."""
+        base, info = self._markers.latest()
+        done = self._processed(info, source)
+        gaps = cut(subtract_intervals(intervals(source, self.keys, self.seq), done, self.keys))
         if gaps.isEmpty():
             return None
-        done = self.runs()
-        n = done[-1] + 1 if done else 1
-        _, rows = gaps, rows_in(source, gaps, self.keys, self.seq)
-        process(rows).write.mode("overwrite").parquet(f"{self.path}/out/{n}")
-        merge_intervals(self.processed(source), gaps, self.keys).write.mode("overwrite").parquet(f"{self.path}/ledger/{n}")
-        self._fs.mkdirs(self._p("commit"))
-        marker = self._fs.create(self._p("commit", n), False)
-        marker.write(bytearray(json.dumps({"run": n}).encode()))
-        marker.close()
-        return n
-
-    def output(self) -> DataFrame | None:
-        """Rows of all committed runs; folders of runs that never committed are not read."""
-        done = self.runs()
-        return self.spark.read.parquet(*(f"{self.path}/out/{n}" for n in done)) if done else None
+        out = process(rows_in(source, gaps, self.keys, self.seq))
+        return self._commit(base, out, merge_intervals(done, gaps, self.keys), before_commit)
+
+    def _commit(self, base: int, out: DataFrame | None, ledger: DataFrame, before_commit: Callable[[], None] = lambda: None) -> int:
+        info = {"ledger": fresh("run")} | ({"out": fresh("run")} if out is not None else {})
+        try:
+            if out is not None:
+                out.write.parquet(self._at(info, "out"))
+            ledger.write.parquet(self._at(info, "ledger"))
+            before_commit()
+            return self._markers.commit(base, info)
+        except BaseException as e:
+            if isinstance(e, Conflict) or base == self._markers.latest()[0]:  # it does not count: leave nothing behind
+                for what in info:
+                    self._markers.fs.delete(self._markers.at("..", what, info[what]), True)
+            raise
+
+    def output(self, run: str | None = None) -> DataFrame | None:
+        """Rows of all committed runs, with the run's number in column `run` if that is given; folders of runs that never
+        committed are not read."""
+        held = [(n, self._at(info, "out")) for n, info in self._markers.commits() if "out" in info]
+        if not held:
+            return None
+        if run is None:
+            return self.spark.read.parquet(*(at for _, at in held))
+        parts = [self.spark.read.parquet(at).withColumn(run, F.lit(n)) for n, at in held]
+        while len(parts) > 1:
+            parts = [a.unionByName(b) for a, b in zip(parts[::2], parts[1::2])] + parts[len(parts) // 2 * 2 :]
+        return parts[0]
 
 
 def norm_path(path: Column) -> Column:
@@ -198,12 +223,36 @@ def file_states(doc_files: DataFrame, index_meta: DataFrame, index_runs: DataFra
 def due_files(doc_files: DataFrame, index_meta: DataFrame, index_runs: DataFrame, rows_per_shard: int = 200_000, **versions: int) -> DataFrame:
     """(root, path) of the present files that the next run of their root must process.
 
-    Present files are numbered per (root, shard); the numbers of files that are current form the processed intervals, and
-    what is due is the difference from the available range.
+    Present files are numbered per (root, shard) as a registry would that had seen the succeeded runs: first the file versions that are
+    recorded, then those that are not. The recorded numbers of a shard are one interval, which a ledger takes over from the
+    run log as processed; what is due are its gaps.
     """
     keys = ["root", "shard"]
     states = file_states(doc_files, index_meta, index_runs, **versions)
-    states = cut(number(states, ["root"], ["path"], doc_files.count(), rows_per_shard))
-    available = states.groupBy(*keys).agg(F.lit(1).cast("long").alias("lo"), F.max("seq").alias("hi"))
-    gaps = subtract_intervals(available, intervals(states.filter("current"), keys), keys)
-    return rows_in(states, gaps, keys).select("root", "path")
+    states = cut(number(states.withColumn("late", ~F.col("current")), ["root"], ["late", "path"], doc_files.count(), rows_per_shard).select("root", "path", "shard", "seq", "current"))
+    spark = states.sparkSession
+    ledger = Ledger(spark, f"{shared_dir(spark)}/{fresh('due')}", keys)
+    ledger.adopt(states.filter("current").groupBy(*keys).agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")))
+    return ledger.due(states)[1].select("root", "path")
+
+
+def logged_runs(walks: DataFrame, moment: Column, late: Column) -> DataFrame:
+    """What several runs over a growing log of walks give, (columns of walks, shard, seq, run): every row has its number from the moment it
+    is made. A first run sees those made up to `moment` except those that come `late`; a second one dies when all is
+    written and nothing published; a third sees everything, the late ones in the gaps below what is processed."""
+    spark = walks.sparkSession
+    order = [c for c in ("scanned_at", "project", "file", "mtime_secs", "size_bytes", "ext") if c in walks.columns]
+    numbered = cut(number(walks, ["root"], order, walks.count()))
+    ledger = Ledger(spark, f"{shared_dir(spark)}/{fresh('runs')}", ["root", "shard"])
+
+    def dies() -> None:
+        raise InterruptedError("the driver is gone")
+
+    ledger.run(numbered.filter(moment & ~late), lambda rows: rows)
+    try:
+        ledger.run(numbered.filter(moment), lambda rows: rows, dies)
+    except InterruptedError:
+        pass  # nothing of it counts
+    ledger.run(numbered, lambda rows: rows)
+    out = ledger.output("run")
+    return numbered.withColumn("run", F.lit(0)).limit(0) if out is None else out

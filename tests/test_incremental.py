@@ -56,6 +56,39 @@ def test_ledger_processes_once_and_survives_a_failed_run(spark, tmp_path):
     assert rows(ledger.processed(make([1])), "lo", "hi") == [(1, 3), (5, 5), (8, 8)]
 
 
+def test_two_writers_one_counts(spark, tmp_path):
+    """Both process the same gaps; the slower one gets a Conflict, takes nothing of the winner's away and leaves nothing behind."""
+    rows_ = spark.createDataFrame([("s", x, f"v{x}") for x in (1, 2, 3)], "shard string, seq long, v string")
+    a, b = (inc.Ledger(spark, f"file://{tmp_path}/l", ["shard"]) for _ in range(2))
+    with pytest.raises(inc.Conflict):
+        a.run(rows_, lambda d: d, lambda: b.run(rows_, lambda d: d))
+    assert a.runs() == [1] and sorted(r.seq for r in a.output("run").collect()) == [1, 2, 3]
+    assert len(list((tmp_path / "l" / "out").iterdir())) == len(list((tmp_path / "l" / "ledger").iterdir())) == 1
+
+
+def test_a_writer_that_died_at_its_marker_is_passed_over(spark, tmp_path):
+    rows_ = lambda *s: spark.createDataFrame([("s", x) for x in s], "shard string, seq long")
+    ledger = inc.Ledger(spark, f"file://{tmp_path}/l", ["shard"])
+    assert ledger.run(rows_(1), lambda d: d) == 1
+    (tmp_path / "l" / "commit" / "2").write_text("")
+    assert ledger.run(rows_(1, 2), lambda d: d) == 3 and ledger.runs() == [1, 3]
+    (tmp_path / "l" / "commit" / "4").write_text('{"ledger": "x", "out": "x", "base": 1}')  # made upon what is no longer the latest
+    assert ledger.runs() == [1, 3] and ledger.run(rows_(1, 2), lambda d: d) is None
+
+
+def test_first_run_over_a_long_range_is_cut_in_steps(spark):
+    df = spark.createDataFrame([("a", x) for x in (0, 10**9, 10**10, 2 * 10**10 + 1)], "k string, seq long")
+    gaps = spark.createDataFrame([("a", 10**9, 2 * 10**10)], "k string, lo long, hi long")
+    assert sorted(r.seq for r in inc.rows_in(df, gaps, ["k"], width=65_536).collect()) == [10**9, 10**10]
+
+
+def test_runs_with_a_failure_and_late_rows(spark):
+    walks = spark.createDataFrame([("r", f"f{i}", i, T0 + dt.timedelta(hours=i)) for i in range(20)], "root string, file string, size_bytes long, scanned_at timestamp")
+    got = inc.logged_runs(walks, F.col("scanned_at") <= F.lit(T0 + dt.timedelta(hours=9)), F.col("size_bytes") % 4 == 0)
+    assert {r.file: r.run for r in got.collect()} == {f"f{i}": 1 if i < 10 and i % 4 else 2 for i in range(20)} and got.count() == 20
+    assert inc.logged_runs(walks.limit(0), F.lit(True), F.lit(False)).count() == 0
+
+
 T0 = dt.datetime(2025, 1, 1)
 FILES = "root string, project string, file string, mtime_secs long, size_bytes long, scanned_at timestamp, extra int"
 META = "run_id long, root string, path string, mtime_secs long, size_bytes long"

@@ -2,10 +2,12 @@ import datetime as dt
 import io
 import zipfile
 
+import pytest
+
 from foliant.operators import code_index
 from foliant.operators.chunking import chunk
 from foliant.sources import readers
-from foliant.sources.sinks import Store
+from foliant.sources.sinks import Conflict, Store
 from foliant.streaming.incremental import maintain
 from foliant.streaming.rate_limit import rate_limit, rate_limit_stream
 
@@ -74,6 +76,22 @@ def test_store_versions(spark, tmp_path):
     assert s.read("t").count() == 5 and s.version() == 2 and s.meta() == {"schema_version": 4}
 
 
+def test_store_two_writers_and_vacuum(spark, tmp_path):
+    a, b = (Store(spark, f"file://{tmp_path}/s") for _ in range(2))
+    base = a.version()
+    b.publish({"t": spark.range(3)})
+    with pytest.raises(Conflict):
+        a.publish({"t": spark.range(7)}, base=base)
+    assert a.read("t").count() == 3
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, v string")
+    a.publish_buckets("b", rows((1, "x"), (2, "y"), (3, "z")), "k", [1, 2, 3])
+    a.publish_buckets("b", rows((2, "Y")), "k", [2, 3])  # 3 is emptied, 1 is shared with the version before
+    assert sorted(r.v for r in a.read("b").collect()) == ["Y", "x"] and [r.v for r in a.read("b", [2]).collect()] == ["Y"] and a.read("t").count() == 3
+    before = len(list((tmp_path / "s" / "data").rglob("*.parquet")))
+    assert a.vacuum(keep=1) == 2 and len(list((tmp_path / "s" / "data").rglob("*.parquet"))) < before
+    assert sorted(r.v for r in a.read("b").collect()) == ["Y", "x"]
+
+
 def test_stream_of_documents_equals_batch(spark, tmp_path):
     schema = "project string, file string, ext string, content string"
     src = tmp_path / "in"
