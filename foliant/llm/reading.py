@@ -37,7 +37,7 @@ LAST = frozenset("etc al inc ltd co corp jr sr".split())
 _FRONT = re.compile(r"\A\ufeff?---[ \t]*\r?\n.*?^(?:---|\.\.\.)[ \t]*\r?$\n?", re.S | re.M)
 _FENCE = re.compile(r"^[ \t]*(?:[-*+>][ \t]+)*(`{3,}|~{3,})[^\n]*\n.*?(?:^[ \t>]*\1[`~]*[ \t]*$|\Z)", re.S | re.M)
 _MARKUP_CODE = re.compile(r"<(pre|code|script|style)\b[^>]*>.*?</\1>|<!--.*?-->|\\begin\{(?:verbatim|lstlisting|equation|align)\*?\}.*?\\end\{[a-z]+\*?\}|\$\$.*?\$\$", re.S | re.I)
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z](?:[^<>\n]|\n(?![ \t\r]*\n))*>")
 _INLINE = re.compile(r"(`+)(?:(?!\1).)+?\1(?!`)")
 _LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\n]*\)")
 _URL = re.compile(r"\b(?:https?|ftp)://\S+|\bwww\.\S+")

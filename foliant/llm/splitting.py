@@ -3,7 +3,9 @@
 Every position of a text has a boundary strength (heading, paragraph, line, sentence, clause, word, character). A sparse
 table of range maxima over strengths answers, for each piece, which cut in its permissible window is strongest; the key
 carries the position below the strength, so ties go to the right. The next piece starts `overlap` characters before the cut.
-Building the table is one vectorised pass per power of two, and a text of n characters costs O(n log n).
+The table covers a stretch of the text at a time and has levels up to the longest window only, so a text of n characters costs
+O(n log limit) time and memory for one stretch, whatever n is. Where the last part of the window offers no boundary better than
+a character, all of the window is asked.
 
 Guarantees: every piece has at most `limit` code points; piece k+1 starts exactly `overlap` characters before the end of
 piece k; joined without overlaps, the pieces give the text back. No cut parts a CR LF pair, a base character from its
@@ -16,7 +18,9 @@ split each for itself; extra columns that are not named are left behind.
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections import deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -39,94 +43,152 @@ def _codes(chars: str) -> np.ndarray:
     return np.array([ord(c) for c in chars], dtype=np.uint32)
 
 
+_LINE_END = re.compile(r"\r\n|[\n\r\u2028\u2029]")
+_SOLID = re.compile(r"\S")
+_HEADINGS = ("#", "==", r"\section", r"\subsection", r"\chapter", "<h1", "<h2", "<h3")
+
+
+def _line_starts(text: str) -> Iterator[tuple[int, int]]:
+    """(position, strength) of the lines that begin a paragraph or heading, the last cut of a run of blank lines counting."""
+    fence, blank_seen, begin, n = False, False, 0, len(text)
+    while begin < n:
+        m = _LINE_END.search(text, begin)
+        end = m.end() if m else n
+        solid = _SOLID.search(text, begin, end)
+        if solid is None:
+            blank_seen = True
+        else:
+            at = solid.start()
+            if text.startswith(("```", "~~~"), at):
+                if begin and not fence and blank_seen:
+                    yield begin, PARAGRAPH
+                fence = not fence
+            elif begin and not fence:
+                if text.startswith(_HEADINGS, at):
+                    yield begin, HEADING
+                elif blank_seen:
+                    yield begin, PARAGRAPH
+            blank_seen = False
+        begin = end
+
+
+class Boundaries:
+    """Strengths of the cuts of a text, asked for stretch by stretch with rising starts."""
+
+    def __init__(self, text: str):
+        self.text, self.n = text, len(text)
+        self._lines = _line_starts(text)
+        self._known: deque[tuple[int, int]] = deque()  # lines met and not yet passed
+
+    def between(self, lo: int, hi: int) -> np.ndarray:
+        """Strengths of a cut before each of the positions lo to hi - 1."""
+        text, n = self.text, self.n
+        s = np.full(hi - lo, CHARACTER, dtype=np.int8)
+        first, last = max(lo, 1), min(hi, n)  # cuts at both ends of the text are plain
+        if first >= last:
+            return s
+        c = max(0, first - 3)  # a cut at i looks at a[i-3] to a[i]
+        while c and 0x1F1E6 <= ord(text[c]) <= 0x1F1FF:  # flags pair up from the first of a run
+            c -= 1
+        a = np.frombuffer(text[c:last].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        i = np.arange(first, last) - c
+
+        def at(values: np.ndarray, back: int) -> np.ndarray:
+            """values of the characters `back` places before the one after the cut; nothing before the text."""
+            out = values[np.maximum(i - back, 0)]
+            out[i < back] = False
+            return out
+
+        newline = (a == 10) | (a == 0x2028) | (a == 0x2029)
+        newline[:-1] |= (a[:-1] == 13) & (a[1:] != 10)
+        space = np.isin(a, _codes(" \t\n\r\f\v\u00a0\u2028\u2029\u3000"))
+        ends, closers = np.isin(a, _codes(SENTENCE_ENDS)), np.isin(a, _codes(CLOSERS))
+        ended = ends.copy()  # also behind closing quotes and brackets
+        ended[1:] |= closers[1:] & ends[:-1]
+        inner = s[first - lo : last - lo]
+        gap = at(space, 1) & ~at(space, 0)  # the cut comes behind the blank after the mark
+        inner[gap] = WORD
+        inner[gap & at(np.isin(a, _codes(CLAUSE_ENDS)), 2)] = CLAUSE
+        inner[at(np.isin(a, _codes("、，；")), 1)] = CLAUSE
+        inner[gap & at(ended, 2)] = SENTENCE
+        inner[at(np.isin(a, _codes(WIDE_ENDS)), 1) & ~at(closers, 0)] = SENTENCE
+        line = at(newline, 1)
+        inner[line] = np.maximum(inner[line], LINE)
+        while self._known and self._known[0][0] < lo:
+            self._known.popleft()
+        while not self._known or self._known[-1][0] < hi:
+            entry = next(self._lines, None)
+            if entry is None:
+                break
+            if entry[0] >= lo:
+                self._known.append(entry)
+        for position, strength in self._known:
+            if position < hi:
+                s[position - lo] = strength
+        inner[at(a == 13, 1) & at(a == 10, 0)] = INSIDE
+        if (a > 0x2FF).any():
+            joined = np.isin(a, _codes("\u200d\ufe0e\ufe0f")) | ((a >= 0x1F3FB) & (a <= 0x1F3FF))
+            marks = np.unique(a[a > 0x2FF])
+            marks = marks[[unicodedata.combining(chr(x)) > 0 or unicodedata.category(chr(x)) in ("Mn", "Me", "Mc") for x in marks]]
+            joined |= np.isin(a, marks)
+            flag = (a >= 0x1F1E6) & (a <= 0x1F1FF)
+            parity = np.zeros(len(a), dtype=np.int64)
+            for k in np.flatnonzero(flag):
+                parity[k] = parity[k - 1] + 1 if k and flag[k - 1] else 1
+            inner[at(joined, 0) | at(a == 0x200D, 1) | (at(flag, 0) & (parity[i] % 2 == 0))] = INSIDE
+        return s
+
+
 def strengths(text: str) -> np.ndarray:
     """Strength of a cut before each position 0..n."""
-    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    n = len(a)
-    s = np.full(n + 1, CHARACTER, dtype=np.int64)
-    if n < 2:
-        return s
-    newline, space = (a == 10) | (a == 0x2028) | (a == 0x2029), np.isin(a, _codes(" \t\n\r\f\v\u00a0\u2028\u2029\u3000"))
-    before, after = slice(0, n - 1), slice(1, n)  # a cut at i lies between a[i-1] and a[i]
-    inner = s[1:n]
-    inner[space[before] & ~space[after]] = WORD
-    ends, closers = np.isin(a, _codes(SENTENCE_ENDS)), np.isin(a, _codes(CLOSERS))
-    ended = ends.copy()  # also behind closing quotes and brackets
-    ended[1:] |= closers[1:] & ends[:-1]
-    gap = space[before] & ~space[after]  # the cut comes behind the blank after the mark
-    two = np.zeros(n - 1, dtype=bool)
-    two[1:] = ended[: n - 2]
-    clause = np.zeros(n - 1, dtype=bool)
-    clause[1:] = np.isin(a[: n - 2], _codes(CLAUSE_ENDS))
-    inner[gap & clause] = CLAUSE
-    inner[np.isin(a[before], _codes("、，；"))] = CLAUSE
-    inner[gap & two] = SENTENCE
-    inner[np.isin(a[before], _codes(WIDE_ENDS)) & ~closers[after]] = SENTENCE
-    inner[newline[before]] = np.maximum(inner[newline[before]], LINE)
-    # paragraphs: the last cut of a run of blank lines
-    starts = np.flatnonzero(newline) + 1
-    fence, blank_seen = False, False
-    lines = np.concatenate(([0], starts))
-    for begin, end in zip(lines, np.concatenate((starts, [n]))):
-        line = text[begin : min(end, begin + 200)].strip()
-        if not line and end - begin <= 200:
-            blank_seen = True
-            continue
-        if line.startswith(("```", "~~~")):
-            if begin and not fence:
-                s[begin] = PARAGRAPH if blank_seen else max(s[begin], LINE)
-            fence = not fence
-        elif begin and not fence:
-            if line.startswith(("#", "==", r"\section", r"\subsection", r"\chapter", "<h1", "<h2", "<h3")):
-                s[begin] = HEADING
-            elif blank_seen:
-                s[begin] = PARAGRAPH
-        blank_seen = False
-    s[1:n][(a[before] == 13) & (a[after] == 10)] = INSIDE
-    if (a > 0x2FF).any():
-        joined = np.isin(a, _codes("\u200d\ufe0e\ufe0f")) | ((a >= 0x1F3FB) & (a <= 0x1F3FF))
-        odd = np.flatnonzero(a > 0x2FF)
-        marks = np.unique(a[odd])
-        marks = marks[[unicodedata.combining(chr(c)) > 0 or unicodedata.category(chr(c)) in ("Mn", "Me", "Mc") for c in marks]]
-        joined |= np.isin(a, marks)
-        flag = (a >= 0x1F1E6) & (a <= 0x1F1FF)
-        parity = np.zeros(n, dtype=np.int64)
-        for i in np.flatnonzero(flag):
-            parity[i] = parity[i - 1] + 1 if i and flag[i - 1] else 1
-        s[1:n][joined[after] | (a[before] == 0x200D) | (flag[after] & (parity[after] % 2 == 0))] = INSIDE
-    return s
+    return Boundaries(text).between(0, len(text) + 1)
 
 
 class RangeMax:
-    """Sparse table: level j holds the maximum of 2^j neighbours; any range is two overlapping blocks."""
+    """Sparse table: level j holds the maximum of 2^j neighbours; any range of up to `longest` is two overlapping blocks."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, longest: int | None = None):
         self.n = len(values)
-        self.levels = [values * self.n + np.arange(self.n)]
+        kind = np.int32 if 8 * self.n < 1 << 31 else np.int64
+        self.levels = [values.astype(kind) * kind(self.n) + np.arange(self.n, dtype=kind)]
         width = 1
-        while 2 * width <= self.n:
+        while 2 * width <= min(self.n, longest or self.n):
             last = self.levels[-1]
             self.levels.append(np.maximum(last[: len(last) - width], last[width:]))
             width *= 2
 
-    def argmax(self, lo: int, hi: int) -> int:
-        """The rightmost position of the maximum in [lo, hi]."""
+    def best(self, lo: int, hi: int) -> tuple[int, int]:
+        """(maximum, the rightmost position of it) in [lo, hi]."""
         j = (hi - lo + 1).bit_length() - 1
         level = self.levels[j]
-        return int(max(level[lo], level[hi - (1 << j) + 1]) % self.n)
+        return divmod(int(max(level[lo], level[hi - (1 << j) + 1])), self.n)
+
+    def argmax(self, lo: int, hi: int) -> int:
+        return self.best(lo, hi)[1]
 
 
-def cut_points(text: str, limit: int, overlap: int, fill: float = 0.5) -> list[tuple[int, int]]:
-    """Spans of the pieces. The cut is sought in the last (1 - fill) of the permitted length."""
+def cut_points(text: str, limit: int, overlap: int, fill: float = 0.5, stretch: int = 1 << 18) -> list[tuple[int, int]]:
+    """Spans of the pieces. The cut is sought in the last (1 - fill) of the permitted length, and in all of it where that offers
+    nothing natural. stretch: positions per table, four limits at least."""
     n = len(text)
     if limit < 1 or n <= limit:
         return [(0, n)]
     overlap = min(max(overlap, 0), limit - 1)
-    table = RangeMax(strengths(text))
-    out, start = [], 0
+    stretch = max(stretch, 4 * limit)
+    boundaries = Boundaries(text)
+    out, start, base, table = [], 0, 0, None
     while n - start > limit:
-        low = start + max(overlap + 1, int(limit * fill), 1)
-        end = table.argmax(min(low, start + limit), start + limit)
+        if table is None or start + limit >= base + table.n:
+            base = start
+            table = RangeMax(boundaries.between(base, min(n + 1, base + stretch)), limit)
+        least = start + overlap + 1
+        low = min(max(least, start + max(int(limit * fill), 1)), start + limit)
+        strength, end = table.best(low - base, start + limit - base)
+        if strength <= CHARACTER and least < low:
+            wider = table.best(least - base, start + limit - base)
+            if wider[0] > strength:
+                end = wider[1]
+        end += base
         out.append((start, end))
         start = end - overlap
     out.append((start, n))

@@ -184,6 +184,51 @@ def test_grade_cases(spark):
     assert reading.grade(df.limit(0), "id", "body", samples).count() == 0
 
 
+def test_stretches_give_the_same_cuts():
+    """Whatever part of the text a table covers, strengths and cuts are those of the whole."""
+    rng = np.random.default_rng(3)
+    words = ["alpha", "beta.", "gamma,", "\n", "\n\n", "# head\n", "```\n", " ", "  ", "\u3002", "\U0001F1E9\U0001F1EA" * 5, "e\u0301", "\r\n", "\r", "x" * 60, " " * 300, "\ufe0f"]
+    for _ in range(30):
+        text = " ".join(words[i] for i in rng.integers(0, len(words), 400))
+        limit, overlap = int(rng.integers(5, 90)), int(rng.integers(0, 30))
+        assert splitting.cut_points(text, limit, overlap, stretch=1) == splitting.cut_points(text, limit, overlap)
+        whole, parts = splitting.strengths(text), splitting.Boundaries(text)
+        assert np.array_equal(whole, np.concatenate([parts.between(i, min(i + 37, len(text) + 1)) for i in range(0, len(text) + 1, 37)]))
+        check_pieces(text, limit, overlap)
+
+
+def test_blank_lines_of_any_length():
+    for blanks in (5, 300, 3000):
+        text = "a paragraph here\n" + " " * blanks + "\nnext paragraph"
+        assert splitting.strengths(text)[text.index("next")] == splitting.PARAGRAPH
+    text = "x" * 5 + "\r" + "y" * 5 + "\r\r" + "zzz"
+    assert splitting.strengths(text)[6] == splitting.LINE and splitting.strengths(text)[text.index("z")] == splitting.PARAGRAPH
+    text = "head\n" + " " * 400 + "# Heading"
+    assert splitting.strengths(text)[5] == splitting.HEADING
+
+
+def test_first_half_is_asked_where_the_last_offers_nothing():
+    text = "word " * 100 + "y" * 1200 + " end"
+    assert splitting.cut_points(text, 1500, 0)[0] == (0, 500)
+
+
+def test_long_texts_need_little_memory():
+    import tracemalloc
+
+    text = ("A sentence of some words, and more. " * 30 + "\n\n") * 18_500
+    tracemalloc.start()
+    spans = splitting.cut_points(text, 1500, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text) > 19_900_000 and spans[-1][1] == len(text) and peak < 200_000_000
+
+
+def test_tags_of_any_length_are_no_prose():
+    text = "One sentence here. <a title='" + "very long words. " * 40 + "'>Link</a> ends here."
+    assert "very" not in " ".join(reading.prose(text)) and "very" not in " ".join(reading.prose(text.replace("long words. very", "long\nvery")))
+    assert "a < b" in " ".join(reading.prose("Here a < b holds.\n\nAnd c > d too."))
+
+
 def test_found_sources_come_from_the_solved_rates(spark):
     """Other caps of the solver give other rows; soft documents do not help a source over its bound."""
     from pyspark.sql import functions as F
