@@ -5,9 +5,10 @@ Only ranks enter, so no score dominates by its range. Equal scores share a rank
 totals share a position.
 
 Layout: a scope (query) lies in one task, where one shuffle serves de-duplication, all rankings and the final order. Scopes
-with more than 1/`hot_share` of all rows (fewer than `hot_share` of them, which bounds what is broadcast) take another
-way that never gathers a scope: distinct scores are counted with map-side aggregation, cut into bands, ranked within
-(scope, band) and offset by the counts of the bands above; the ranks are joined back by value.
+with more than `hot_rows` rows, an absolute number that one task can hold, take another way that never gathers a scope:
+distinct scores are counted with map-side aggregation, laid out by range in partitions of about `hot_rows` values, ranked within
+(scope, partition) and offset by the counts of the partitions above; the ranks are joined back by value. The list of hot
+scopes is broadcast only if its size is proven; otherwise it is joined.
 
 Defined cases: null and NaN scores give no rank; an item none of whose scores counts takes no part; of repeated items the
 highest score of each kind counts; null scope or item columns are values of their own; empty tables give no rows; columns
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.session import cut
+from foliant.session import bounded, cut
 
 
 def _usable(c: str) -> Column:
@@ -41,17 +42,14 @@ def gather(tables: dict[str, DataFrame], scope: Sequence[str], item: Sequence[st
     return reduce(DataFrame.unionByName, parts).filter(F.coalesce(*tables).isNotNull())
 
 
-def rank_by_value(df: DataFrame, scope: Sequence[str], value: str, rank: str, bands: int = 64) -> DataFrame:
+def rank_by_value(df: DataFrame, scope: Sequence[str], value: str, rank: str, parts: int) -> DataFrame:
     """df with the rank (1 + number of greater values) of each row within its scope, null for null values, without any
-    task holding a scope. The ranks of distinct values are found in bands of about equal size, cut at approximate quantiles, and joined back by value; AQE splits the join
-    where one value is hot."""
+    task holding a scope. The ranks of distinct values are found in `parts` ranges of (scope, value) of about equal size, and
+    joined back by value; AQE splits the join where one value is hot."""
     scope = list(scope)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*scope, value).agg(F.count("*").alias("_n"))
-    cuts = [i / bands for i in range(1, bands)]
-    edges = counts.groupBy(*[F.col(c).alias(f"_z_{c}") for c in scope]).agg(F.percentile_approx(value, cuts, 1000).alias("_edges"))
-    same_scope = [F.col(c).eqNullSafe(F.col(f"_z_{c}")) for c in scope]
-    band = F.size(F.filter("_edges", lambda e: e > F.col(value))).alias("_band")  # 0 is the top; equal values share a band
-    banded = counts.join(edges, same_scope).select(*scope, value, "_n", band)
+    # a range is a partition, and stays one as it is written: equal values lie together, and numbers fall as values rise
+    banded = cut(counts.repartitionByRange(max(1, parts), *scope, F.desc(value)).withColumn("_band", F.spark_partition_id()))
     inside = W.partitionBy(*scope, "_band").orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, -1)
     above = W.partitionBy(*scope).orderBy("_band").rowsBetween(W.unboundedPreceding, -1)
     offsets = banded.groupBy(*scope, "_band").agg(F.sum("_n").alias("_m")).withColumn("_above", F.coalesce(F.sum("_m").over(above), F.lit(0)))
@@ -66,29 +64,30 @@ def _total(kinds: Sequence[str], constant: float) -> Column:
     return reduce(lambda a, b: a + b, [F.coalesce(F.lit(1.0) / (F.lit(float(constant)) + F.col(f"{t}_rank")), F.lit(0.0)) for t in kinds])
 
 
-def fuse(tables: dict[str, DataFrame], scope: Sequence[str], item: Sequence[str], score: str = "score", constant: float = 60, hot_share: int = 200) -> DataFrame:
+def fuse(tables: dict[str, DataFrame], scope: Sequence[str], item: Sequence[str], score: str = "score", constant: float = 60, hot_rows: int = 200_000) -> DataFrame:
     """(scope, item, <table>_rank for each table, total, position)."""
     scope, item, kinds = list(scope), list(item), list(tables)
     rows = gather(tables, scope, item, score)
-    per_scope = rows.groupBy(*scope).count()
-    size = rows.select(F.count("*")).first()[0]
-    hot = cut(per_scope.filter(F.col("count") * hot_share > max(size, 200_000)).select(*[F.col(c).alias(f"_h_{c}") for c in scope]))
+    hot = cut(rows.groupBy(*scope).count().filter(F.col("count") > hot_rows).select(*[F.col(c).alias(f"_h_{c}") for c in scope], "count"))
     is_hot = [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in scope]
     best = [F.max(t).alias(t) for t in kinds]
+    hot_total = hot.agg(F.sum("count")).first()[0] or 0
+    hot = bounded(hot.drop("count")) if hot_total else None
 
-    cold = rows.join(F.broadcast(hot), is_hot, "left_anti").repartition(*scope).groupBy(*scope, *item).agg(*best)
+    cold = (rows.join(hot, is_hot, "left_anti") if hot_total else rows).repartition(*scope).groupBy(*scope, *item).agg(*best)
     for t in kinds:  # rank() counts nulls last, so they disturb nothing before them
         cold = cold.withColumn(f"{t}_rank", F.when(F.col(t).isNotNull(), F.rank().over(W.partitionBy(*scope).orderBy(F.desc_nulls_last(t)))))
     cold = cold.withColumn("total", _total(kinds, constant))
     cold = cold.withColumn("position", F.rank().over(W.partitionBy(*scope).orderBy(F.desc("total"))))
     out = [*scope, *item, *[f"{t}_rank" for t in kinds], "total", "position"]
-    if hot.isEmpty():
+    if not hot_total:
         return cold.select(*out)
 
-    warm = cut(rows.join(F.broadcast(hot), is_hot, "left_semi").groupBy(*scope, *item).agg(*best))
+    parts = -(-hot_total // hot_rows)
+    warm = cut(rows.join(hot, is_hot, "left_semi").groupBy(*scope, *item).agg(*best))
     for t in kinds:
-        warm = rank_by_value(warm, scope, t, f"{t}_rank")
-    warm = rank_by_value(cut(warm.withColumn("total", _total(kinds, constant))), scope, "total", "position")
+        warm = rank_by_value(warm, scope, t, f"{t}_rank", parts)
+    warm = rank_by_value(cut(warm.withColumn("total", _total(kinds, constant))), scope, "total", "position", parts)
     return cold.select(*out).unionByName(warm.select(*out))
 
 

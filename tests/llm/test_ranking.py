@@ -41,7 +41,7 @@ def test_top_n_against_brute_force(spark, seed):
     rows = [(r.choice([1, 2, None]), r.choice(["a", "b", "", None]), r.choice(["x", "y", "é", None]) or None, r.choice([1, 2, 3, None]), r.choice([None, float("nan"), 0.0, -0.0, 1.5, 2.5, r.random(), float("inf")]), "z", 1) for _ in range(400)]
     rows += [(9, "hot", f"f{i % 700}", i % 5, float(i % 13), "z", 1) for i in range(6000)] + [(9, "hot", "f1", 1, 12.5, "z", 1)] * 2000
     df = spark.createDataFrame(rows, SCHEMA)
-    got = topn.top_n(df, ["q", "p"], ["f", "l"], "s", 5, hot_share=3, salts=4)
+    got = topn.top_n(df, ["q", "p"], ["f", "l"], "s", 5, hot_rows=500)
     assert {tuple(x) for x in got.collect()} == brute(rows, 5) and got.count() == len(brute(rows, 5))
 
 
@@ -52,10 +52,16 @@ def test_top_n_of_nothing(spark):
     assert topn.top_n(only_bad, ["q", "p"], ["f", "l"], "s").count() == 0
 
 
-def test_hot_groups_of_top_n_take_the_salted_way(spark):
-    rows = [(1, "hot", f"f{i}", i, float(i % 7), "", 0) for i in range(120_000 // 8)] * 8 + [(i, "cold", "f", 1, 1.0, "", 0) for i in range(500)]
+@pytest.mark.parametrize("score", [lambda i: float(i % 7), lambda i: 1.0, lambda i: 10.0 ** (i % 300), lambda i: float(i)])
+def test_groups_are_hot_by_rows_and_not_by_share(spark, score, monkeypatch):
+    """A group of a hundredth of all rows is split; equal scores, few scores, a heavy tail and many scores."""
+    took = []
+    real = topn._hot_items
+    monkeypatch.setattr(topn, "_hot_items", lambda items, *a, **k: took.append(items) or real(items, *a, **k))
+    rows = [(1, "hot", f"f{i}", i, score(i), "", 0) for i in range(400)] * 2 + [(i, "cold", f"f{i % 9}", i % 7, float(i % 11), "", 0) for i in range(40)] * 1000
     df = spark.createDataFrame(rows, SCHEMA).repartition(8)
-    assert {tuple(x) for x in topn.top_n(df, ["q", "p"], ["f", "l"], "s", 5).collect()} == brute(rows, 5)
+    assert {tuple(x) for x in topn.top_n(df, ["q", "p"], ["f", "l"], "s", 5, hot_rows=300).collect()} >= brute(rows[:800], 5) and len(took) == 1
+    assert {tuple(x) for x in topn.top_n(df, ["q", "p"], ["f", "l"], "s", 5, hot_rows=2000).collect()} == brute(rows, 5) and len(took) == 1
 
 
 def tables(spark, text, vector):
@@ -79,14 +85,14 @@ def brute_fusion(text, vector, k=60):
     return out
 
 
-@pytest.mark.parametrize("hot_share", [200, 100_000_000])
-def test_fusion_against_brute_force(spark, hot_share, monkeypatch):
+@pytest.mark.parametrize("hot_rows", [200_000, 20])
+def test_fusion_against_brute_force(spark, hot_rows):
     """Once with every scope in one task, once with all scopes on the way of hot ones."""
     r = random.Random(1)
     value = lambda: r.choice([None, float("nan"), 1.0, 2.0, round(r.random(), 2)])
     text = [(r.choice([1, 2, 3]), r.choice(["a", None]), f"f{r.randrange(40)}", value()) for _ in range(500)]
     vector = [(r.choice([2, 3, 4]), "a", f"f{r.randrange(60)}", value()) for _ in range(400)]
-    got = fusion.fuse(tables(spark, text, vector), ["q"], ["p", "f"], hot_share=hot_share)
+    got = fusion.fuse(tables(spark, text, vector), ["q"], ["p", "f"], hot_rows=hot_rows)
     assert {(*x[:5], round(x.total, 12), x.position) for x in got.collect()} == brute_fusion(text, vector)
 
 
@@ -105,7 +111,7 @@ def test_fusion_of_nothing(spark):
 def test_rank_by_value_with_bands(spark):
     r = random.Random(2)
     rows = [(r.choice([1, None]), r.choice([None, float(r.randrange(300)), 1e9])) for _ in range(2000)]
-    got = fusion.rank_by_value(spark.createDataFrame(rows, "q long, v double"), ["q"], "v", "rank", bands=8).collect()
+    got = fusion.rank_by_value(spark.createDataFrame(rows, "q long, v double"), ["q"], "v", "rank", parts=8).collect()
     for q in (1, None):
         values = [v for k, v in rows if k == q and v is not None]
         assert all(x.rank == (None if x.v is None else 1 + sum(o > x.v for o in values)) for x in got if x.q == q)
