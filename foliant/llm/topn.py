@@ -64,7 +64,7 @@ def _hot_items(items: DataFrame, keys: Sequence[str], n: int, hot_rows: int, pie
             return items
 
 
-def top_n(df: DataFrame, group: Sequence[str], item: Sequence[str], score: str, n: int = 5, hot_rows: int = 100_000) -> DataFrame:
+def top_n(df: DataFrame, group: Sequence[str], item: Sequence[str], score: str, n: int = 5, hot_rows: int = 20_000) -> DataFrame:
     """(group, item, score, rank): the n best items of each group. item: the columns that tell a group's items apart; they
     also break ties, in their order."""
     group, item = list(group), list(item)
