@@ -4,7 +4,7 @@ token can start, and literals or comments that do not end, come as the kinds ERR
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from foliant.llm import grammars as g
 
@@ -18,31 +18,35 @@ def _operators(*names: str) -> str:
     return "|".join(re.escape(x) for x in sorted(names, key=lambda x: (-len(x), x)))
 
 
-def _simple(text: str, pattern: re.Pattern, words: frozenset[str], space: re.Pattern, name: str = "NAME") -> Iterator[Token]:
-    """Tokens of languages whose lexical grammar is regular; groups name the kinds, 'op' and 'id' stand for themselves."""
-    pos, n, newline = 0, len(text), False
-    while True:
-        m = space.match(text, pos)
-        if m.end() > pos:
-            newline = newline or "\n" in m[0]
+class Regular:
+    """Tokens of a language whose lexical grammar is regular, one match each with the blanks before it. In the token pattern
+    groups name the kinds, 'op' and 'id' stand for themselves; words: kinds of identifiers that are no names."""
+
+    def __init__(self, space: str, token: str, words: Iterable[str], same: dict[str, str] | None = None, lines: bool = False, number: re.Pattern | None = None):
+        self.scan = re.compile(f"(?:{space})(?:{token})", re.S | re.M)
+        self.space = re.compile(space, re.S | re.M)
+        self.kinds = {w: w for w in words} | (same or {})
+        self.lines, self.number = lines, number
+
+    def __call__(self, text: str) -> Iterator[Token]:
+        pos, kinds, lines, number = 0, self.kinds, self.lines, self.number
+        for m in iter(self.scan.scanner(text).match, None):
+            kind = m.lastgroup
+            at = m.start(kind)
+            newline = lines and at > pos and text.find("\n", pos, at) >= 0
+            if kind == "id":
+                kind = kinds.get(m["id"], "NAME")
+            elif kind == "op":
+                kind = m["op"]
+                if kind == "/" and text.startswith("/*", at):
+                    break
+            elif number and kind == "NUM" and not number.match(m["NUM"]):
+                kind = ERROR
+            yield kind, at, newline
             pos = m.end()
-        if pos >= n:
-            return
-        m = None if text.startswith("/*", pos) else pattern.match(text, pos)
-        if not m:
-            yield (OPEN if _unfinished(text, pos) else ERROR), pos, newline
-            return
-        kind = m.lastgroup
-        if kind == "id":
-            yield (m[0] if m[0] in words else name), pos, newline
-        elif kind == "op":
-            yield m[0], pos, newline
-        elif kind == "bad":
-            yield ERROR, pos, newline
-            return
-        else:
-            yield kind, pos, newline
-        newline, pos = False, m.end()
+        blank = self.space.match(text, pos)
+        if blank.end() < len(text):
+            yield (OPEN if _unfinished(text, blank.end()) else ERROR), blank.end(), "\n" in blank[0]
 
 
 def _unfinished(text: str, pos: int) -> bool:
@@ -57,8 +61,8 @@ def _quoted(q: str, many: str = "*") -> str:
     return q + _ESC.replace("{q}", q) + many + q
 
 
-_C_SPACE = re.compile(r"(?:[ \t\n\f\v]|\\\n|//(?:[^\n\\]|\\(?:.|\n))*|/\*.*?\*/)*", re.S)
-_C_TOKEN = re.compile(
+_C_SPACE = r"(?:[ \t\n\f\v]++|\\\n|//(?:[^\n\\]|\\(?:.|\n))*+|/\*.*?\*/)*+"
+_C_TOKEN = (
     rf"(?P<STR>(?:u8|[uUL])?{_quoted('\"')})|(?P<CHAR>[uUL]?{_quoted("'", '+')})|(?P<NUM>\.?[0-9](?:[eEpP][+-]|[0-9A-Za-z_.])*)|(?P<id>{_ID})"
     rf"|(?P<op>{_operators('...', '->', '++', '--', *g.C_BIN, *g.C_ASSIGN, '~', '!', '.', ',', ';', ':', '?', '(', ')', '[', ']', '{', '}')})"
 )
@@ -67,60 +71,87 @@ _C_COMMENT_OR_STRING = re.compile(r"//(?:[^\n\\]|\\(?:.|\n))*|/\*.*?\*/|" + _quo
 _C_NUMBER = re.compile(r"(?:0[xX][0-9a-fA-F]*\.?[0-9a-fA-F]*(?:[pP][+-]?\d+)?|0[bB][01]+|\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)[uUlLfF]*\Z")
 
 
-def _preprocess(text: str) -> tuple[str, int]:
-    """Directives blanked out, of conditionals the first branch taken; and where an unbalanced one stands, else -1."""
-    masked = _C_COMMENT_OR_STRING.sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if m[0][0] == "/" else m[0].replace("#", " "), text)
-    out, pos, stack = [], 0, []  # stack: (offset, this branch is taken, some branch was taken, else was seen)
-    live = lambda: all(x[1] for x in stack)
+_PLUS = re.compile(r"#?[ \t]*(?:defined[ \t]*\(?[ \t]*__cplusplus[ \t]*\)?|__cplusplus)[ \t]*\Z")
+
+
+def preprocess(text: str) -> tuple[str, list[tuple[int, str]], int]:
+    """Text with its directives and the branches that can never be taken (#if 0, what follows #if 1, C++) blanked out; the
+    conditionals as (offset, 'if', 'else', 'endif', or 'only' for the end of one of which a branch must be taken); and where an
+    unbalanced one stands, else -1. Of all other branches every one is kept."""
+    masked = _C_COMMENT_OR_STRING.sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if m[0][0] == "/" else m[0].replace("#", " "), text) if "#" in text else ""
+    out, pos, marks = [], 0, []
+    stack: list[list] = []  # offset, this branch can be taken, a branch must have been taken, else was seen, the whole can be reached
     for m in _DIRECTIVE.finditer(masked):
-        part = text[pos : m.start()]
-        out.append(part if live() else re.sub(r"[^\n]", " ", part))
-        name = m[1]
+        part, live = text[pos : m.start()], not stack or stack[-1][1] and stack[-1][4]
+        out.append(part if live else re.sub(r"[^\n]", " ", part))
+        name, rest = m[1], m[2].strip()
         if name in ("if", "ifdef", "ifndef"):
-            taken = not (name == "if" and m[2].strip() == "0")
-            stack.append((m.start(), taken, taken, False))
+            plus = bool(_PLUS.match(rest))
+            never = name == "if" and rest == "0" or plus and name != "ifndef"
+            always = name == "if" and rest == "1" or plus and name == "ifndef"
+            stack.append([m.start(), not never, always, False, live])
+            if live:
+                marks.append((m.start(), "if" if not never else "if never"))
         elif name in ("elif", "else", "endif"):
             if not stack or name != "endif" and stack[-1][3]:
-                return text, m.start()
-            at, _, some, _ = stack.pop()
-            if name != "endif":
-                stack.append((at, not some, True, name == "else"))
-        elif name not in ("", "define", "undef", "include", "line", "error", "pragma", "warning", "include_next", "ident") and live() and not m[1].isdigit():
-            return text, m.start()
+                return text, marks, m.start()
+            top = stack[-1]
+            if name == "endif":
+                stack.pop()
+                if top[4]:
+                    marks.append((m.start(), "only" if top[2] else "endif"))
+            else:
+                never = top[2] or name == "elif" and rest == "0"
+                if top[4]:
+                    marks.append((m.start(), "else never" if never else "else"))
+                top[1] = not never
+                top[2] = top[2] or name == "else" or name == "elif" and rest == "1"
+                top[3] = name == "else"
+        elif name not in ("", "define", "undef", "include", "line", "error", "pragma", "warning", "include_next", "ident") and live and not name.isdigit():
+            return text, marks, m.start()
         out.append(re.sub(r"[^\n]", " ", text[m.start() : m.end()]))
         pos = m.end()
+    if not out:
+        return text, marks, -1
     part = text[pos:]
-    out.append(part if live() else re.sub(r"[^\n]", " ", part))
-    return "".join(out), (stack[-1][0] if stack else -1)
+    out.append(part if not stack or stack[-1][1] and stack[-1][4] else re.sub(r"[^\n]", " ", part))
+    return "".join(out), marks, (stack[-1][0] if stack else -1)
+
 
+_C = Regular(_C_SPACE, _C_TOKEN, (*g.C_WORDS, "asm", "__asm__", "__asm", "__attribute__"), {"__inline": "inline", "__inline__": "inline", "__restrict": "restrict", "__const": "const"}, number=_C_NUMBER)
 
-def c(text: str) -> Iterator[Token]:
-    text, broken = _preprocess(text)
-    for kind, at, newline in _simple(text, _C_TOKEN, frozenset((*g.C_WORDS, "asm", "__asm__", "__asm", "__attribute__")), _C_SPACE):
-        if kind == "NUM" and not _C_NUMBER.match(_number(text, at, _C_TOKEN)):
-            kind = ERROR
-        yield {"__inline": "inline", "__inline__": "inline", "__restrict": "restrict", "__const": "const"}.get(kind, kind), at, newline
-    if broken >= 0:
-        yield OPEN if text.startswith("#if", broken) else ERROR, broken, True
 
+def c(text: str) -> tuple[Iterator[Token], list[tuple[int, str]]]:
+    """Tokens of all branches that can be taken, and the conditionals they stand in."""
+    plain, marks, broken = preprocess(text)
+
+    def tokens() -> Iterator[Token]:
+        for token in _C(plain):
+            if 0 <= broken < token[1] and not text.startswith("#if", broken):
+                break
+            yield token
+        if broken >= 0:
+            yield OPEN if text[broken:].lstrip(" \t").startswith("#") and re.match(r"[ \t]*#[ \t]*if", text[broken:]) else ERROR, broken, True
 
-def _number(text: str, at: int, pattern: re.Pattern) -> str:
-    return pattern.match(text, at)[0]
+    return tokens(), marks
 
 
-_GO_SPACE = re.compile(r"(?:[ \t\n]|//[^\n]*|/\*.*?\*/)*", re.S)
+_GO_SPACE = r"(?:[ \t\n]++|//[^\n]*+|/\*.*?\*/)*+"
 _GO_NUMBER = r"0[xX][0-9a-fA-F_]*(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?[0-9_]+)?i?|0[bB][01_]+i?|0[oO][0-7_]+i?|(?:[0-9][0-9_]*(?:\.[0-9_]*)?|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9_]+)?i?"
-_GO_TOKEN = re.compile(
+_GO_TOKEN = (
     rf"(?P<NUM>(?:{_GO_NUMBER})(?![\w]))|(?P<STR>\"(?:[^\"\\\n]|\\[^\n])*\"|`[^`]*`)|(?P<CHAR>'(?:[^'\\\n]|\\(?:[abfnrtv\\'\"]|[0-7]{{3}}|x[0-9a-fA-F]{{2}}|u[0-9a-fA-F]{{4}}|U[0-9a-fA-F]{{8}}))')|(?P<id>{_ID})"
     rf"|(?P<op>{_operators('...', '<-', '++', '--', ':=', '&^=', '&^', *g.C_BIN, *g.C_ASSIGN, '~', '!', '.', ',', ';', ':', '(', ')', '[', ']', '{', '}')})"
 )
 _GO_ENDS = frozenset(("NAME", "NUM", "STR", "CHAR", "break", "continue", "fallthrough", "return", "++", "--", ")", "]", "}"))
 
 
+_GO = Regular(_GO_SPACE, _GO_TOKEN, g.GO_WORDS, lines=True)
+
+
 def go(text: str) -> Iterator[Token]:
     """With the semicolons that line ends stand for; one before a closing bracket may be left out."""
     last = ""
-    for kind, at, newline in _simple(text, _GO_TOKEN, frozenset(g.GO_WORDS), _GO_SPACE):
+    for kind, at, newline in _GO(text):
         if newline and last in _GO_ENDS:
             yield ";", at, True
             last = ";"
@@ -130,16 +161,15 @@ def go(text: str) -> Iterator[Token]:
         yield ";", len(text), True
 
 
-_JAVA_SPACE = re.compile(r"(?:[ \t\n\f]|//[^\n]*|/\*.*?\*/|\x1a\Z)*", re.S)
-_JAVA_TOKEN = re.compile(
+_JAVA_SPACE = r"(?:[ \t\n\f]++|//[^\n]*+|/\*.*?\*/|\x1a\Z)*+"
+_JAVA_TOKEN = (
     rf"(?P<STR>\"\"\"[ \t\f]*\n(?:[^\\]|\\(?:.|\n))*?\"\"\"|\"(?:[^\"\\\n]|\\(?:[btnfrs0-7\"'\\]|u+[0-9a-fA-F]{{4}}))*\")|(?P<CHAR>'(?:[^'\\\n]|\\(?:[btnfrs\"'\\]|[0-7]{{1,3}}|u+[0-9a-fA-F]{{4}}))')"
     rf"|(?P<NUM>(?:0[xX](?:[0-9a-fA-F_]*\.?[0-9a-fA-F_]*[pP][+-]?[0-9_]+[fFdD]?|[0-9a-fA-F_]+[lL]?)|0[bB][01_]+[lL]?|(?:[0-9][0-9_]*(?:\.[0-9_]*)?|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9_]+)?[fFdDlL]?)(?![\w]))|(?P<id>(?:[^\W\d]|\$)(?:\w|\$)*)"
     rf"|(?P<op>{_operators('...', '->', '::', '++', '--', '>>>=', '>>>', *g.C_BIN, *g.C_ASSIGN, '~', '!', '.', ',', ';', ':', '?', '@', '(', ')', '[', ']', '{', '}')})"
 )
 
 
-def java(text: str) -> Iterator[Token]:
-    return _simple(text, _JAVA_TOKEN, frozenset((*g.JAVA_HARD, *g.JAVA_SOFT)), _JAVA_SPACE)
+java = Regular(_JAVA_SPACE, _JAVA_TOKEN, (*g.JAVA_HARD, *g.JAVA_SOFT))
 
 
 _RUST_TOKEN = re.compile(
@@ -147,48 +177,50 @@ _RUST_TOKEN = re.compile(
     r"|(?P<STR>b?r(#*)\"(?:.|\n)*?\"\3(?!#)|b?\"(?:[^\"\\]|\\(?:[nrt\\0'\"\n]|x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]{1,8}\}))*\")|(?P<LIFETIME>'[^\W\d]\w*(?!'))|(?P<id>(?:r#)?[^\W\d]\w*)"
     rf"|(?P<op>{_operators(*(x for x in g.RUST_OPERATORS))})"
 )
-_RUST_BLANK = re.compile(r"(?:\s|//[^\n]*)*")
+_RUST_BLANK = re.compile(r"(?:\s++|//[^\n]*+)*+")
+
+
+_RUST_WORDS = {w: w for w in (*g.RUST_HARD, *g.RUST_SOFT)} | {"_": "_"}
+_RUST_NEXT = re.compile(f"{_RUST_BLANK.pattern}(?!/\\*)(?:{_RUST_TOKEN.pattern})")
 
 
 def rust(text: str) -> Iterator[Token]:
-    """Block comments nest, so blanks are skipped by hand."""
-    words, pos, n, newline = frozenset((*g.RUST_HARD, *g.RUST_SOFT)), 0, len(text), False
+    """Block comments nest, so they are skipped by hand."""
+    words, pos, n, match = _RUST_WORDS, 0, len(text), _RUST_NEXT.match
     if text.startswith("#!") and not re.match(r"#!\s*\[", text):
         pos = (text + "\n").index("\n")
     while True:
-        pos = _RUST_BLANK.match(text, pos).end()
-        if text.startswith("/*", pos):
-            start, depth = pos, 0
-            for m in re.compile(r"/\*|\*/").finditer(text, pos):
-                depth += 1 if m[0] == "/*" else -1
-                if not depth:
-                    pos = m.end()
-                    break
-            if depth:
-                yield OPEN, start, newline
-                return
-            continue
-        if pos >= n:
-            return
-        m = _RUST_TOKEN.match(text, pos)
+        m = match(text, pos)
         if not m:
-            yield (OPEN if text[pos] == '"' or text.startswith(('r"', "r#", 'b"'), pos) else ERROR), pos, newline
+            pos = _RUST_BLANK.match(text, pos).end()
+            if text.startswith("/*", pos):
+                start, depth = pos, 0
+                for m in re.compile(r"/\*|\*/").finditer(text, pos):
+                    depth += 1 if m[0] == "/*" else -1
+                    if not depth:
+                        pos = m.end()
+                        break
+                if depth:
+                    yield OPEN, start, False
+                    return
+                continue
+            if pos < n:
+                yield (OPEN if text[pos] == '"' or text.startswith(('r"', "r#", 'b"'), pos) else ERROR), pos, False
             return
         kind = m.lastgroup
         if kind == "id":
-            kind = "_" if m[0] == "_" else m[0] if m[0] in words else "NAME"
+            lexeme = m["id"]
+            yield words.get(lexeme, "NAME"), m.start("id"), False
         elif kind == "op":
-            kind = m[0]
-        elif m["STR"] is not None:
-            kind = "STR"
-        elif m["LIT"] is not None:
-            kind = "LIT"
-        yield kind, pos, newline
+            yield m["op"], m.start("op"), False
+        else:
+            kind = "STR" if m["STR"] is not None else "LIT" if m["LIT"] is not None else kind
+            yield kind, m.start(kind), False
         pos = m.end()
 
 
-_JS_SPACE = re.compile(r"(?:[\s\ufeff]|//[^\n\u2028\u2029]*|/\*.*?\*/|<!--[^\n]*|^-->[^\n]*)*", re.S | re.M)
-_TS_SPACE = re.compile(r"(?:[\s\ufeff]|//[^\n\u2028\u2029]*|/\*.*?\*/)*", re.S)
+_JS_SPACE = re.compile(r"(?:[\s\ufeff]++|//[^\n\u2028\u2029]*+|/\*.*?\*/|<!--[^\n]*+|^-->[^\n]*+)*+", re.S | re.M)
+_TS_SPACE = re.compile(r"(?:[\s\ufeff]++|//[^\n\u2028\u2029]*+|/\*.*?\*/)*+", re.S)
 _JS_OPERATORS = _operators("...", "=>", "?.", "++", "--", "**", "===", "!==", "??", ">>>", *g.JS_ASSIGN, *g.C_BIN, "~", "!", ".", ",", ";", ":", "?", "@", "(", ")", "[", "]", "{", "}")
 _JS_TOKEN = re.compile(
     rf"(?P<STR>\"(?:[^\"\\\n]|\\(?:.|\n))*\"|'(?:[^'\\\n]|\\(?:.|\n))*')|(?P<NUM>(?:0[xX][0-9a-fA-F_]+n?|0[oO][0-7_]+n?|0[bB][01_]+n?|[0-9][0-9_]*n|(?:[0-9][0-9_]*(?:\.[0-9_]*)?|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9_]+)?)(?![\w$]))"
@@ -198,11 +230,14 @@ _JS_REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*
 _JS_TEMPLATE = re.compile(r"(?:[^`\\$]|\\(?:.|\n)|\$(?!\{))*(`|\$\{)", re.S)
 
 
+_JS_WORDS = {w: w for w in (*g.JS_HARD, *g.JS_SOFT)}
+
+
 class JavaScript:
     """Tokens on demand: whether a slash divides or starts a pattern only the parser knows."""
 
     def __init__(self, text: str, typed: bool):
-        self.text, self.pos, self.words = text, 0, frozenset((*g.JS_HARD, *g.JS_SOFT))
+        self.text, self.pos, self.words = text, 0, _JS_WORDS
         self.space = _TS_SPACE if typed else _JS_SPACE
         self.braces: list[bool] = []  # for every open brace: does it belong to a template?
         if text.startswith("#!"):
@@ -220,12 +255,14 @@ class JavaScript:
         return "THEAD" if head else "TMIDDLE"
 
     def next(self, pattern_may_come) -> Token | None:
-        m = self.space.match(self.text, self.pos)
-        newline = any(c in m[0] for c in "\n\u2028\u2029")
-        self.pos = at = m.end()
-        if at >= len(self.text):
+        text, pos = self.text, self.pos
+        m = self.space.match(text, pos)
+        at = m.end()
+        newline = at > pos and ("\n" in (gap := m[0]) or "\u2028" in gap or "\u2029" in gap)
+        self.pos = at
+        if at >= len(text):
             return None
-        ch = self.text[at]
+        ch = text[at]
         if ch == "`":
             return self._template(at + 1, True), at, newline
         if ch == "}" and self.braces and self.braces.pop():
@@ -244,7 +281,7 @@ class JavaScript:
             self.braces.append(False)
         kind = m.lastgroup
         if kind == "id":
-            return (m[0] if m[0] in self.words else "NAME"), at, newline
+            return self.words.get(m[0], "NAME"), at, newline
         return (m[0] if kind == "op" else kind), at, newline
 
 
@@ -259,9 +296,13 @@ _PY_LEAD = re.compile(r"[ \t\f]*")
 _BRACKETS = {")": "(", "]": "[", "}": "{"}
 
 
+_PY_WORDS = frozenset((*g.PYTHON_HARD, *g.PYTHON_SOFT))
+_PY_MAY_QUOTE = frozenset("'\"rRbBuUfF")
+
+
 def python(text: str) -> Iterator[Token]:
     """With NEWLINE, INDENT and DEDENT. F-strings come as STR; their fields are checked by the caller through fields()."""
-    words = frozenset((*g.PYTHON_HARD, *g.PYTHON_SOFT))
+    words = _PY_WORDS
     pos, n, indents, open_, fresh = 0, len(text), [("", 0, 0)], [], True
     if text.startswith("\ufeff"):
         pos = 1
@@ -309,7 +350,7 @@ def python(text: str) -> Iterator[Token]:
                 yield "NEWLINE", pos - 1, False
                 fresh = True
             continue
-        m = _PY_STRING.match(text, pos)
+        m = _PY_STRING.match(text, pos) if ch in _PY_MAY_QUOTE else None
         if m and m[1].lower() in _PY_PREFIXES:
             end = _PY_ENDS[m[2]].match(text, m.end())
             if not end:
@@ -319,7 +360,7 @@ def python(text: str) -> Iterator[Token]:
             pos = end.end()
             continue
         m = _PY_TOKEN.match(text, pos)
-        if not m or m.lastgroup == "NUM" and re.match(r"0\d*[1-9]\d*\Z|0_?[0-9_]*[1-9]", m[0]) and m[0].replace("_", "").isdigit():
+        if not m or m.lastgroup == "NUM" and ch == "0" and re.match(r"0\d*[1-9]\d*\Z|0_?[0-9_]*[1-9]", m[0]) and m[0].replace("_", "").isdigit():
             yield ERROR, pos, False
             return
         if m.lastgroup == "id":

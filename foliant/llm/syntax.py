@@ -14,6 +14,7 @@ rows are judged each for itself (equal contents once per task); other columns ar
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -45,13 +46,15 @@ def language_of(language: str | None, path: str | None) -> str | None:
 def _run(g: Grammar, tokens: Iterator[lexers.Token], text: str, angles: bool, start: str | None = None, check: Callable[[str, int], str] | None = None) -> tuple[str, int]:
     state, empty, derive = g.start(start), g.empty, g.derive
     for kind, at, _ in tokens:
-        if kind in (lexers.ERROR, lexers.OPEN):
-            return ("end" if kind == lexers.OPEN else "lexical"), at
-        if check and kind == "FSTR":
+        if kind == "FSTR" and check:
             if reason := check(text, at):
                 return reason, at
             kind = "STR"
-        after = derive(state, kind)
+        after = state.memo.get(kind)
+        if after is None:
+            if kind == lexers.ERROR or kind == lexers.OPEN:
+                return ("end" if kind == lexers.OPEN else "lexical"), at
+            after = derive(state, kind)
         if angles and kind in _ANGLES:
             other = state
             for one in _ANGLES[kind]:
@@ -63,6 +66,40 @@ def _run(g: Grammar, tokens: Iterator[lexers.Token], text: str, angles: bool, st
     return ("", -1) if state.null else ("end", len(text))
 
 
+def _conditional(g: Grammar, tokens: Iterator[lexers.Token], marks: list[tuple[int, str]], text: str) -> tuple[str, int]:
+    """The state forks at a conditional: every branch that can be taken is parsed from the state before it, and what follows is
+    parsed from the alternative of their ends (and of the state before, where no branch need be taken)."""
+    state, empty, derive, k = g.start(), g.empty, g.derive, 0
+    forks: list[list] = []  # state before, ends of the branches so far, whether the present one can be taken
+
+    def upto(at: int) -> None:
+        nonlocal state, k
+        while k < len(marks) and marks[k][0] <= at:
+            mark = marks[k][1]
+            k += 1
+            if mark.startswith("if"):
+                forks.append([state, [], mark == "if"])
+                continue
+            before, ends, taken = forks[-1]
+            if taken:
+                ends.append(state)
+            if mark.startswith("else"):
+                state, forks[-1][2] = before, mark == "else"
+            else:
+                forks.pop()
+                state = g._alt(ends if mark == "only" else [*ends, before])
+
+    for kind, at, _ in tokens:
+        upto(at)
+        if kind == lexers.ERROR or kind == lexers.OPEN:
+            return ("end" if kind == lexers.OPEN else "lexical"), at
+        state = state.memo.get(kind) or derive(state, kind)
+        if state is empty:
+            return "token", at
+    upto(len(text))
+    return ("", -1) if state.null else ("end", len(text))
+
+
 def _fstring(text: str, at: int) -> str:
     prefix, _, body = lexers.string_at(text, at)
     inner = lexers.fields(body, "r" in prefix)
@@ -91,7 +128,7 @@ def _javascript(g: Grammar, text: str, typed: bool) -> tuple[str, int]:
             return ("end" if kind == lexers.OPEN else "lexical"), at
         if newline and (last in ("return", "break", "continue") or kind in ("++", "--")) and (ended := derive(state, "ASI")) is not empty:
             state = ended
-        after = derive(state, kind)
+        after = state.memo.get(kind) or derive(state, kind)
         if typed and kind in _ANGLES:
             other = state
             for one in _ANGLES[kind]:
@@ -120,7 +157,7 @@ def verdict(language: str, content: str | None) -> Verdict:
         tokens = list(lexers.go(text))
         reason, at = _run(grammar("Go"), iter(tokens), text, False) if tokens else ("", -1)
     elif language == "C":
-        reason, at = _run(grammar("C"), lexers.c(text), text, False)
+        reason, at = _conditional(grammar("C"), *lexers.c(text), text)
     else:
         reason, at = _run(grammar(language), {"Java": lexers.java, "Rust": lexers.rust}[language](text), text, True)
     return (True, "", 0) if not reason else (False, reason, text.count("\n", 0, max(at, 0)) + 1)
@@ -132,7 +169,7 @@ def judge(df: DataFrame, keys: Sequence[str], language: str, path: str, content:
     keys = carried.keys
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[tuple[str, str], Verdict] = {}
+        known: dict[tuple[str, bytes], Verdict] = {}  # by digest, so that it holds no texts
         for batch in batches:
             rows: list[tuple] = []
             for lang, where, text in zip(batch["_language"], batch["_path"], batch["_content"]):
@@ -140,9 +177,9 @@ def judge(df: DataFrame, keys: Sequence[str], language: str, path: str, content:
                 if lang is None:
                     rows.append((None, None, "", 0))
                     continue
-                key = (lang, text or "")
+                key = (lang, hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest())
                 if key not in known:
-                    if len(known) > 20_000:
+                    if len(known) > 100_000:
                         known.clear()
                     known[key] = verdict(lang, text)
                 rows.append((lang, *known[key]))
