@@ -233,12 +233,15 @@ _JS_TEMPLATE = re.compile(r"(?:[^`\\$]|\\(?:.|\n)|\$(?!\{))*(`|\$\{)", re.S)
 _JS_WORDS = {w: w for w in (*g.JS_HARD, *g.JS_SOFT)}
 
 
+_JS_TABLES = [(x, re.compile(f"(?:{x.pattern})(?![`/])(?:{_JS_TOKEN.pattern})", re.S | re.M)) for x in (_JS_SPACE, _TS_SPACE)]
+
+
 class JavaScript:
     """Tokens on demand: whether a slash divides or starts a pattern only the parser knows."""
 
     def __init__(self, text: str, typed: bool):
         self.text, self.pos, self.words = text, 0, _JS_WORDS
-        self.space = _TS_SPACE if typed else _JS_SPACE
+        self.space, self.quick = _JS_TABLES[typed]
         self.braces: list[bool] = []  # for every open brace: does it belong to a template?
         if text.startswith("#!"):
             self.pos = (text + "\n").index("\n")
@@ -256,53 +259,64 @@ class JavaScript:
 
     def next(self, pattern_may_come) -> Token | None:
         text, pos = self.text, self.pos
+        m = self.quick.match(text, pos)
+        if m:  # blanks and a token that depends on nothing
+            kind = m.lastgroup
+            at = m.start(kind)
+            newline = at > pos and ("\n" in (gap := text[pos:at]) or "\u2028" in gap or "\u2029" in gap)
+            if kind == "id":
+                self.pos = m.end()
+                return self.words.get(m["id"], "NAME"), at, newline
+            if kind != "op":
+                self.pos = m.end()
+                return kind, at, newline
+            lexeme = m["op"]
+            if lexeme == "{":
+                self.braces.append(False)
+            elif lexeme == "}" and self.braces and self.braces.pop():
+                return self._template(at + 1, False), at, newline
+            self.pos = m.end()
+            return lexeme, at, newline
         m = self.space.match(text, pos)
-        at = m.end()
+        self.pos = at = m.end()
         newline = at > pos and ("\n" in (gap := m[0]) or "\u2028" in gap or "\u2029" in gap)
-        self.pos = at
         if at >= len(text):
             return None
         ch = text[at]
         if ch == "`":
             return self._template(at + 1, True), at, newline
-        if ch == "}" and self.braces and self.braces.pop():
-            return self._template(at + 1, False), at, newline
         if ch == "/":
-            if self.text.startswith("/*", at):
+            if text.startswith("/*", at):
                 return OPEN, at, newline
-            if pattern_may_come() and (m := _JS_REGEX.match(self.text, at)):
+            if pattern_may_come() and (m := _JS_REGEX.match(text, at)):
                 self.pos = m.end()
                 return "REGEX", at, newline
-        m = _JS_TOKEN.match(self.text, at)
-        if not m:
-            return (OPEN if ch in "\"'" and "\n" not in self.text[at:].rstrip("\n") else ERROR), at, newline
-        self.pos = m.end()
-        if ch == "{":
-            self.braces.append(False)
-        kind = m.lastgroup
-        if kind == "id":
-            return self.words.get(m[0], "NAME"), at, newline
-        return (m[0] if kind == "op" else kind), at, newline
+            if m := _JS_TOKEN.match(text, at):
+                self.pos = m.end()
+                return m[0], at, newline
+        return (OPEN if ch in "\"'" and "\n" not in text[at:].rstrip("\n") else ERROR), at, newline
 
 
 _PY_NUMBER = r"0[xX](?:_?[0-9a-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:(?:[0-9](?:_?[0-9])*)?\.[0-9](?:_?[0-9])*|[0-9](?:_?[0-9])*\.?)(?:[eE][+-]?[0-9](?:_?[0-9])*)?[jJ]?"
 _PY_OPERATORS = _operators("...", "->", ":=", "**", "==", "!=", "<=", ">=", "<", ">", "=", "~", ".", ",", ":", ";", "(", ")", "[", "]", "{", "}", *g.PYTHON_BIN, *g.PYTHON_AUG)
 _PY_STRING = re.compile(r"(?i:([rbuf]{0,2}))('''|\"\"\"|'|\")")
-_PY_TOKEN = re.compile(rf"(?P<NUM>{_PY_NUMBER})|(?P<id>{_ID})|(?P<op>{_PY_OPERATORS})")
+_PY_TOKEN = rf"(?P<str>(?i:[rbuf]{{0,2}})(?:'''|\"\"\"|'|\"))|(?P<NUM>{_PY_NUMBER})|(?P<id>{_ID})|(?P<op>{_PY_OPERATORS})"
 _PY_ENDS = {q: re.compile(rf"(?:[^\\]|\\(?:.|\n))*?{q}", re.S) if len(q) == 3 else re.compile(rf"(?:[^\\\n{q}]|\\(?:.|\n))*{q}") for q in ("'''", '"""', "'", '"')}
 _PY_PREFIXES = frozenset(("", "r", "b", "u", "f", "rb", "br", "rf", "fr"))
-_PY_BLANK = re.compile(r"(?:[ \t\f]|\\\n)*(?:#[^\n]*)?")
+_PY_BLANK = re.compile(r"(?:[ \t\f]++|\\\n)*+(?:#[^\n]*+)?+")
+_PY_NEXT = re.compile(f"{_PY_BLANK.pattern}(?:(?P<end>\\n)|{_PY_TOKEN})")
 _PY_LEAD = re.compile(r"[ \t\f]*")
 _BRACKETS = {")": "(", "]": "[", "}": "{"}
 
 
 _PY_WORDS = frozenset((*g.PYTHON_HARD, *g.PYTHON_SOFT))
-_PY_MAY_QUOTE = frozenset("'\"rRbBuUfF")
+_PY_NAME = re.compile(_ID)
+_PY_AFTER_NUMBER = re.compile(r"(?:and|else|for|if|in|is|or|not)\b")
 
 
 def python(text: str) -> Iterator[Token]:
     """With NEWLINE, INDENT and DEDENT. F-strings come as STR; their fields are checked by the caller through fields()."""
-    words = _PY_WORDS
+    words, step = _PY_WORDS, _PY_NEXT.match
     pos, n, indents, open_, fresh = 0, len(text), [("", 0, 0)], [], True
     if text.startswith("\ufeff"):
         pos = 1
@@ -340,44 +354,56 @@ def python(text: str) -> Iterator[Token]:
                         return
                 pos = at
             fresh = False
-        pos = _PY_BLANK.match(text, pos).end()
-        if pos >= n:
+        m = step(text, pos)
+        if not m:
+            pos = _PY_BLANK.match(text, pos).end()
+            if pos < n:
+                yield ERROR, pos, False
+                return
             break
-        ch = text[pos]
-        if ch == "\n":
+        kind = m.lastgroup
+        pos = m.start(kind)
+        if kind == "id":
+            lexeme = m["id"]
+            yield (lexeme if lexeme in words else "NAME"), pos, False
+        elif kind == "op":
+            lexeme = m["op"]
+            if lexeme in "([{":
+                open_.append(lexeme)
+            elif lexeme in _BRACKETS:
+                if not open_ or open_.pop() != _BRACKETS[lexeme]:
+                    yield ERROR, pos, False
+                    return
+            yield lexeme, pos, False
+        elif kind == "end":
             pos += 1
             if not open_:
                 yield "NEWLINE", pos - 1, False
                 fresh = True
             continue
-        m = _PY_STRING.match(text, pos) if ch in _PY_MAY_QUOTE else None
-        if m and m[1].lower() in _PY_PREFIXES:
+        elif kind == "str":
+            m = _PY_STRING.match(text, pos)
+            prefix = m[1].lower()
+            if prefix not in _PY_PREFIXES:
+                m = _PY_NAME.match(text, pos)  # a name right before a quote
+                yield (m[0] if m[0] in words else "NAME"), pos, False
+                pos = m.end()
+                continue
             end = _PY_ENDS[m[2]].match(text, m.end())
             if not end:
                 yield (OPEN if len(m[2]) == 3 or "\n" not in text[pos:] else ERROR), pos, False
                 return
-            yield ("FSTR" if "f" in m[1].lower() else "STR"), pos, False
-            pos = end.end()
-            continue
-        m = _PY_TOKEN.match(text, pos)
-        if not m or m.lastgroup == "NUM" and ch == "0" and re.match(r"0\d*[1-9]\d*\Z|0_?[0-9_]*[1-9]", m[0]) and m[0].replace("_", "").isdigit():
-            yield ERROR, pos, False
-            return
-        if m.lastgroup == "id":
-            yield (m[0] if m[0] in words else "NAME"), pos, False
-        elif m.lastgroup == "NUM":
-            if text[m.end() : m.end() + 1].isalnum() and not re.match(r"(?:and|else|for|if|in|is|or|not)\b", text[m.end() :]):
+            yield ("FSTR" if "f" in prefix else "STR"), pos, False
+            m = end
+        else:
+            number = m["NUM"]
+            if number[0] == "0" and re.match(r"0\d*[1-9]\d*\Z|0_?[0-9_]*[1-9]", number) and number.replace("_", "").isdigit():
+                yield ERROR, pos, False
+                return
+            if text[m.end() : m.end() + 1].isalnum() and not _PY_AFTER_NUMBER.match(text, m.end()):
                 yield ERROR, pos, False
                 return
             yield "NUM", pos, False
-        else:
-            if m[0] in "([{":
-                open_.append(m[0])
-            elif m[0] in _BRACKETS:
-                if not open_ or open_.pop() != _BRACKETS[m[0]]:
-                    yield ERROR, pos, False
-                    return
-            yield m[0], pos, False
         pos = m.end()
     if open_:
         yield OPEN, n, False
