@@ -1,18 +1,25 @@
 """Problem 3: the k most similar vectors of every vector, by NN-descent; queries by greedy search of the graph.
 
-The neighbour graph starts from random-projection trees, fitted to a bounded sample (`sample_rows`) and applied to every
-vector: within a leaf all similarities are computed. NN-descent then improves it by iterated joins: each vertex is told its
-neighbours and (up to `reverse`) vertices that have it as neighbour, with their vectors; all pairs among those of
-which one is new are tried, and a pair is sent on only if it beats the worst neighbour that one of its ends has. It ends when
-less than `settled` of all edges change. Vectors travel in full precision: in a tight crowd the similarities of all
-pairs differ by less than a coarser form would keep.
+Vectors are routed to blocks of up to `block_rows`, which a task can hold, by random-projection trees that grow until no block is
+larger: their upper levels are fitted on the driver to bounded samples (`sample_rows` a turn), turn by turn for the blocks
+that are still too large, so no level is fitted to fewer than `node_rows` rows and nothing is cut by hash. Within a block a task
+grows a forest of its own to leaves of `leaf_rows` and compares all pairs of each leaf. A model that fits one block gets
+all its `trees` there; a larger one is routed by three trees, so that what one parts another may bring together, and gets a
+third of them in each block.
+
+NN-descent then improves the lists by iterated joins: every vertex is the centre of its neighbours and of (up to
+`reverse`) vertices that have it as neighbour; all pairs among those of which one is new are tried, and a pair is sent on only if
+it beats the worst neighbour that one of its ends has. Lists travel as ids; centres are grouped by their block, and each
+vector is fetched once for a block and not once for a centre. It ends when less than `settled` of all edges change; there is
+no other limit. Vectors travel in full precision: in a tight crowd the similarities of all pairs differ by less than a
+coarser form would keep.
 
 Copies: vectors that are equal after scaling are one vertex, so a crowd of copies costs nothing; they come out as
 neighbours of each other at similarity 1 (nearest by id first), in front of the neighbours of the vertex, whose own copies
-count by id too.
+count by id too. Rows of one id and copies are found by two 64-bit hashes of the vector, so that only hashes are shuffled for that.
 
-Skew: leaves that are too full are cut by hash, the rest is found through the other trees and the descent; the lists of
-one vertex are bounded before any shuffle by vertex. Each round is written to the shared folder.
+Skew: blocks are bounded by construction, and the lists of one vertex before any shuffle by vertex. Each round is written to
+the shared folder, and what it replaces is removed.
 
 Defined cases: vectors that are null, of another length than their model's, all zero or not finite take no part; models
 without a dimension take no part; null ids take no part; of rows with one id the one with the greatest (order) counts;
@@ -21,9 +28,8 @@ fewer than k others give fewer neighbours; an empty table gives no rows; other c
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.session import cut
+from foliant.session import bounded, cut
 
 EDGE = "v long, u long, s float"
+PLACED = "block int, id long, vec binary"
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
@@ -67,147 +74,222 @@ def _best(v: np.ndarray, u: np.ndarray, s: np.ndarray, new: np.ndarray, k: int)
     return order[rank < k]
 
 
+def _bytes(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values, without a copy a row."""
+    x = np.ascontiguousarray(x, dtype=np.float32)
+    width = x.shape[1] * 4 if x.ndim == 2 else 0
+    if not len(x) or len(x) * width >= 1 << 31:
+        return pa.array([r.tobytes() for r in x], pa.binary())
+    offsets = np.arange(len(x) + 1, dtype=np.int64) * width
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
+
+
 def usable(df: DataFrame, dimensions: dict[str, int], key: str, model: str, vector: str, order: str | None = None) -> DataFrame:
-    """(id, model, vec): unit vectors as float32 bytes, zero padded to one width. dimensions: a small fixed table."""
-    width = max(dimensions.values(), default=1)
+    """(id, model, vec, o): unit vectors as float32 bytes, of every usable row. dimensions: a small fixed table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, models, vecs = batch.column(0), batch.column(1), batch.column(2)
-            length = pa.compute.list_value_length(vecs).to_numpy(zero_copy_only=False)
-            names = models.to_pylist()
-            want = np.array([dimensions.get(m, -1) for m in names], dtype=float)
-            good = np.flatnonzero(np.equal(length.astype(float), want) & (want > 0) & (ids.null_count == 0 if not ids.null_count else ~ids.is_null().to_numpy(zero_copy_only=False)))
-            flat = vecs.take(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            out = np.zeros((len(good), width))
-            size = want[good].astype(int)
-            if len(good):
-                out[np.arange(width) < size[:, None]] = flat
-            peak = np.abs(out).max(axis=1, initial=0.0)
-            ok = np.isfinite(out).all(axis=1) & (peak > 0)
-            good, out = good[ok], out[ok]
-            out = out / peak[ok][:, None]
-            out = (out / np.sqrt((out * out).sum(axis=1, keepdims=True))).astype(np.float32)
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(good)), models.take(pa.array(good)), pa.array([x.tobytes() for x in out], pa.binary()), batch.column(3).take(pa.array(good))],
-                names=["id", "model", "vec", "o"],
-            )
+            names = np.array(batch.column(1).to_pylist(), dtype=object)
+            length = batch.column(2)
+            length = pa.compute.fill_null(pa.compute.list_value_length(length), -1).to_numpy(zero_copy_only=False)
+            present = ~batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            for name in dict.fromkeys(n for n in names if n in dimensions):
+                d = dimensions[name]
+                good = np.flatnonzero((names == name) & present & (length == d)) if d > 0 else np.zeros(0, dtype=int)
+                if not len(good):
+                    continue
+                x = batch.column(2).take(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(good), d)
+                peak = np.abs(x).max(axis=1)
+                ok = np.isfinite(x).all(axis=1) & (peak > 0)
+                x, good = x[ok] / peak[ok][:, None], pa.array(good[ok])
+                x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+                x = x.astype(np.float32) + np.float32(0)  # -0 and 0 are one number
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(good), batch.column(1).take(good), _bytes(x), batch.column(3).take(good)], names=["id", "model", "vec", "o"])
 
     rows = df.select(F.col(key).cast("long").alias("id"), model, F.col(vector).cast("array<float>"), (F.col(order) if order else F.lit(0)).cast("long").alias("o"))
-    rows = rows.mapInArrow(run, "id long, model string, vec binary, o long")
-    return rows.groupBy("id").agg(F.max(F.struct("o", "model", "vec")).alias("r")).select("id", "r.model", "r.vec")
-
-
-@dataclass
-class Tree:
-    """Hyperplanes of one random-projection tree in heap order; a vertex goes right where its product is above the offset."""
-
-    normals: np.ndarray
-    offsets: np.ndarray
-
-    @classmethod
-    def grow(cls, sample: np.ndarray, depth: int, rng: np.random.Generator) -> Tree:
-        d = sample.shape[1]
-        normals, offsets = np.zeros((max(1, (1 << depth) - 1), d), dtype=np.float32), np.zeros(max(1, (1 << depth) - 1), dtype=np.float32)
-        at = np.zeros(len(sample), dtype=int)
-        for node in range((1 << depth) - 1):
-            mine = np.flatnonzero(at == node)
-            if len(mine) >= 8:
-                a, b = sample[rng.choice(mine, 2, replace=False)]
-                normal = a - b if np.abs(a - b).max() > 1e-6 else rng.standard_normal(d)
-            else:
-                normal = rng.standard_normal(d)
-            x = sample[mine] @ normal
-            normals[node], offsets[node] = normal, np.median(x) if len(mine) >= 8 else 0.0
-            at[mine] = 2 * node + 1 + (x > offsets[node])
-        return cls(normals, offsets)
-
-    def leaf(self, x: np.ndarray, depth: int) -> np.ndarray:
-        at = np.zeros(len(x), dtype=int)
-        for _ in range(depth):
-            at = 2 * at + 1 + (np.einsum("ij,ij->i", x, self.normals[at]) > self.offsets[at])
-        return at
+    return rows.mapInArrow(run, "id long, model string, vec binary, o long")
+
+
+class Blocks:
+    """One random-projection tree of a model's vectors: inner nodes with hyperplanes, leaves with the numbers of blocks."""
+
+    def __init__(self, first: int):
+        self.normals: list[np.ndarray] = [np.zeros(1, dtype=np.float32)]
+        self.offsets, self.right, self.block = [0.0], [-1], [first]  # the left child stands before the right one
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each row."""
+        at, active = np.zeros(len(x), dtype=int), np.arange(len(x))
+        right = np.array(self.right)
+        while True:
+            active = active[right[at[active]] >= 0]
+            if not len(active):
+                return at
+            for node in np.unique(at[active]):
+                mine = active[at[active] == node]
+                at[mine] = right[node] - 1 + (x[mine] @ self.normals[node] > self.offsets[node])
+
+    def blocks(self, x: np.ndarray) -> np.ndarray:
+        return np.array(self.block)[self.place(x)]
+
+    def divide(self, node: int, x: np.ndarray, parts: float, node_rows: int, rng: np.random.Generator, number: Callable[[], int]) -> None:
+        """Grow below a leaf until it has `parts` leaves, as far as the sample x of its rows goes."""
+        work = [(node, x, parts)]
+        while work:
+            node, x, parts = work.pop()
+            if parts <= 1 or len(x) < node_rows:
+                continue
+            normal = _direction(x, rng)
+            p = x @ normal
+            middle = float(np.median(p))
+            if not (p > middle).any():
+                continue  # nothing to tell the rows apart by
+            self.normals[node], self.offsets[node], self.right[node] = normal, middle, len(self.block) + 1
+            for side in (p <= middle, p > middle):
+                self.normals.append(np.zeros(1, dtype=np.float32)), self.offsets.append(0.0), self.right.append(-1), self.block.append(number())
+                work.append((len(self.block) - 1, x[side], parts / 2))
+
+
+def _direction(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A random mixture of the widest directions of the rows."""
+    x = x[rng.choice(len(x), 1024, replace=False)] if len(x) > 1024 else x
+    x = (x - x.mean(axis=0)).astype(np.float64)
+    _, axes = np.linalg.eigh(x.T @ x)
+    axes = axes[:, -8:]
+    return (axes @ rng.standard_normal(axes.shape[1])).astype(np.float32)
+
+
+def _leaves(x: np.ndarray, leaf_rows: int, rng: np.random.Generator) -> list[np.ndarray]:
+    """Row numbers of the leaves of a tree grown on x."""
+    out, work = [], [np.arange(len(x))]
+    while work:
+        rows = work.pop()
+        if len(rows) > leaf_rows:
+            p = x[rows] @ _direction(x[rows], rng)
+            right = p > np.median(p)
+            if right.any():
+                work += [rows[~right], rows[right]]
+                continue
+            half = np.argsort(p, kind="stable")  # all on one side: equal along this direction
+            work += [rows[half[: len(rows) // 2]], rows[half[len(rows) // 2 :]]]
+            continue
+        out.append(rows)
+    return out
 
 
 @dataclass
 class Graph:
     """edges (v, u, s): the k + spare best known neighbours of each vertex; vertices (id, model, vec): one
-    of each class of copies; copies (id, rep): members of classes with more than one; leaves: (id, model, vec) to
-    (leaf, piece, id, vec) through the trees, for entry points; none without vertices."""
+    of each class of copies; copies (id, rep): members of classes with more than one; placed: (id, model, vec) to
+    (block, id, vec) of every tree, for entry points, None without vertices; moved: edges changed in each round."""
 
     edges: DataFrame
     vertices: DataFrame
     copies: DataFrame
     k: int
     rounds: int
-    moved: list[int]
-    leaves: Callable[[DataFrame], DataFrame] | None = None
+    moved: list[int] = field(default_factory=list)
+    placed: Callable[[DataFrame], DataFrame] | None = None
+    start: DataFrame | None = None
+
+
+def _fetched(lists: DataFrame, member: str, vertices: DataFrame) -> DataFrame:
+    """(at, id, vec) of the members that the lists (block, ..., member) name, each once for a block."""
+    need = lists.select("block", F.col(member).alias("id")).distinct()
+    return need.join(vertices.select("id", "vec"), "id").select(F.col("block").alias("at"), "id", "vec")
 
 
 def build(
-    vectors: DataFrame, k: int = 5, width: int = 20, trees: int | None = None, leaf_rows: int = 1200, reverse: int = 16,
-    sample_rows: int = 20_000, max_rounds: int = 6, settled: float = 0.005, seed: int = 7,
+    vectors: DataFrame, k: int = 5, width: int = 14, trees: int = 18, leaf_rows: int = 1024, reverse: int = 10, block_rows: int = 32_768,
+    sample_rows: int = 50_000, node_rows: int = 32, settled: float = 0.01, seed: int = 7, keep_start: bool = False,
 ) -> Graph:
-    """vectors: what usable() gives. width: neighbours kept while descending, at least k + 4. trees: 8 by default, and two more
-    for every doubling above 50 000 vertices, as each finds a smaller share of them together."""
+    """vectors: what usable() gives. width: neighbours kept while descending, at least k + 4. keep_start: hand out the edges as
+    they were before the descent too, to measure what it adds."""
     spark = vectors.sparkSession
-    vectors = cut(vectors)
-    classes = vectors.groupBy("model", "vec").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    vertices = cut(classes.select("id", "model", "vec", "n"))
-    shared = vertices.filter("n > 1").select(F.col("id").alias("rep"), "model", "vec")
-    copies = vectors.join(shared, ["model", "vec"]).select("id", "rep")
-    count = {r[0]: r[1] for r in vertices.groupBy("model").count().collect()}  # one row per model
+    hashed = vectors.select("id", "model", "o", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(seed), "vec").alias("h2"))
+    last = hashed.groupBy("id").agg(F.max(F.struct("o", "model", "h1", "h2")).alias("r")).select("id", "r.model", "r.h1", "r.h2")
+    last = cut(last)
+    classes = last.groupBy("model", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    classes = cut(classes)
+    copies = last.join(classes.filter("n > 1"), ["model", "h1", "h2"]).select("id", "rep")
+    own = classes.select(F.col("rep").alias("id"), "h1", "h2", F.col("model").alias("m"))
+    count = {r[0]: r[1] for r in classes.groupBy("model").count().collect()}  # one row per model
     total = sum(count.values())
+    mine = vectors.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(seed), "vec")).withColumnRenamed("model", "m")
+    # a row given twice is one vertex; the planner broadcasts the hashes if they are few
+    vertices = cut(mine.join(own, ["id", "h1", "h2", "m"]).groupBy("id").agg(F.first("m").alias("model"), F.first("vec").alias("vec")))
     if not total:
-        return Graph(spark.createDataFrame([], EDGE), vertices.drop("n"), copies, k, 0, [])
-    trees = trees or 8 + max(0, round(2 * math.log2(total / 50_000)))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * (width + reverse) / 300_000))
+        return Graph(spark.createDataFrame([], EDGE), vertices, copies, k, 0)
 
-    share = min(1.0, sample_rows / total)
-    picked = vertices.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("model", "vec").limit(2 * sample_rows).collect()
     rng = np.random.default_rng(seed)
-    depth = {m: max(0, math.ceil(math.log2(n / leaf_rows))) for m, n in count.items()}
-    forest = {}
-    for m in count:
-        own = [np.frombuffer(r[1], dtype=np.float32) for r in picked if r[0] == m]
-        own = np.stack(own) if own else np.zeros((0, np.frombuffer(vertices.filter(F.col("model") == m).first()["vec"], dtype=np.float32).size), dtype=np.float32)
-        depth[m] = min(depth[m], max(0, int(math.log2(max(1, len(own)) / 8))))  # no node without sample rows of its own
-        forest[m] = [Tree.grow(own, depth[m], rng) for _ in range(trees if depth[m] else 1)]
-    handed = spark.sparkContext.broadcast((forest, depth))  # bounded by the sample: at most one node for 4 of its rows
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, depth = handed.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, models = _matrix(batch.column("vec"), np.float32), np.array(batch.column("model").to_pylist())
-            for m in np.unique(models):
-                mine = np.flatnonzero(models == m)
-                for t, tree in enumerate(forest.get(m, [])):
-                    leaf = tree.leaf(x[mine], depth[m])
-                    names = [f"{m}/{t}/{i}" for i in leaf]
-                    yield pa.RecordBatch.from_arrays([pa.array(names), batch.column("id").take(pa.array(mine)), batch.column("vec").take(pa.array(mine))], names=["leaf", "id", "vec"])
-
-    routed = vertices.select("id", "model", "vec").mapInArrow(route, "leaf string, id long, vec binary")
-    full = routed.groupBy("leaf").count().filter(F.col("count") > 5 * leaf_rows).select("leaf", F.ceil(F.col("count") / (4 * leaf_rows)).alias("pieces"))
-
-    def leaves(df: DataFrame) -> DataFrame:
-        df = df.select("id", "model", "vec").mapInArrow(route, "leaf string, id long, vec binary").join(full, "leaf", "left")
-        return df.withColumn("piece", F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1))))
-
-    routed = leaves(vertices)
-
-    def brute(table: pa.Table) -> pa.Table:
+    numbers = iter(range(1 << 31))
+    number = lambda: next(numbers)
+    forest = {m: [Blocks(number()) for _ in range(3 if n > block_rows else 1)] for m, n in count.items()}
+
+    def route(handed, only: frozenset[int] | None = None, share: float = 1.0) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pick = np.random.default_rng(seed)
+            for batch in batches:
+                models = np.array(batch.column("model").to_pylist(), dtype=object)
+                for m in dict.fromkeys(x for x in models if x in handed.value):
+                    rows = np.flatnonzero(models == m)
+                    x = _matrix(batch.column("vec").take(pa.array(rows)), np.float32)
+                    for tree in handed.value[m]:
+                        block = tree.blocks(x)
+                        at = np.arange(len(rows)) if only is None else np.flatnonzero(np.isin(block, list(only)) & (pick.random(len(rows)) < share))
+                        take = pa.array(rows[at])
+                        yield pa.RecordBatch.from_arrays([pa.array(block[at], pa.int32()), batch.column("id").take(take), batch.column("vec").take(take)], names=["block", "id", "vec"])
+
+        return run
+
+    sizes = {tree.block[0]: count[m] for m, own_trees in forest.items() for tree in own_trees}
+    stuck: set[int] = set()
+    while large := sorted((n, b) for b, n in sizes.items() if n > 1.3 * block_rows and b not in stuck)[-max(1, sample_rows // (2 * node_rows)) :]:
+        wanted = frozenset(b for _, b in large)
+        handed = spark.sparkContext.broadcast(forest)  # some `block_rows` rows for each of its nodes
+        sample = vertices.mapInArrow(route(handed, wanted, sample_rows / sum(n for n, _ in large)), PLACED).limit(2 * sample_rows).collect()  # a bounded sample
+        rows: dict[int, list[bytes]] = {}
+        for r in sample:
+            rows.setdefault(r["block"], []).append(r["vec"])
+        before = dict(sizes)
+        for own_trees in forest.values():
+            for tree in own_trees:
+                for leaf in [i for i, b in enumerate(tree.block) if tree.right[i] < 0 and b in wanted]:
+                    x = np.stack([np.frombuffer(v, dtype=np.float32) for v in rows.get(tree.block[leaf], [])]) if tree.block[leaf] in rows else np.zeros((0, 1), dtype=np.float32)
+                    tree.divide(leaf, x, 2 ** np.ceil(np.log2(sizes[tree.block[leaf]] / block_rows)), node_rows, rng, number)
+        handed = spark.sparkContext.broadcast(forest)
+        sizes = {r[0]: r[1] for r in vertices.mapInArrow(route(handed), PLACED).groupBy("block").count().collect()}  # one row a block
+        stuck |= {b for b in wanted if sizes.get(b) == before[b] and len(rows.get(b, ())) >= node_rows}
+    handed = spark.sparkContext.broadcast(forest)
+    placed = lambda df: df.select("id", "model", "vec").mapInArrow(route(handed), PLACED)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * (width + reverse) // 300_000))
+    local_trees = {n: max(1, trees // n) for n in (1, 3)}
+
+    def grow(table: pa.Table) -> pa.Table:
+        """The lists of a block's rows by the forest grown in it."""
         x, ids = _matrix(table.column("vec"), np.float32), table.column("id").to_numpy()
-        keep = min(width, len(ids) - 1)
-        vs, us, ss = [], [], []
-        for a in range(0, len(ids) if keep > 0 else 0, 1024):
-            sims = x[a : a + 1024] @ x.T
-            sims[np.arange(len(sims)), a + np.arange(len(sims))] = -2
-            top = np.argpartition(-sims, keep - 1, axis=1)[:, :keep]
-            vs.append(np.repeat(ids[a : a + 1024], keep)), us.append(ids[top].ravel()), ss.append(np.take_along_axis(sims, top, 1).ravel())
-        cat = lambda z, kind: pa.array(np.concatenate(z) if z else np.zeros(0), kind)
-        return pa.table({"v": cat(vs, pa.int64()), "u": cat(us, pa.int64()), "s": cat(ss, pa.float32())})
+        order = np.argsort(ids, kind="stable")
+        x, ids = x[order], ids[order]
+        n, block = len(ids), table.column("block")[0].as_py()
+        alone = next(len(own_trees) for own_trees in handed.value.values() if any(block in tree.block for tree in own_trees))
+        us, ss = np.full((n, width), -1, dtype=np.int32), np.full((n, width), -2, dtype=np.float32)
+        own_rng = np.random.default_rng((seed, block))
+        for _ in range(local_trees[alone] if n > leaf_rows else 1):
+            for rows in _leaves(x, leaf_rows, own_rng):
+                keep = min(width, len(rows) - 1)
+                for a in range(0, len(rows) if keep > 0 else 0, 2048):
+                    some = rows[a : a + 2048]
+                    sims = x[some] @ x[rows].T
+                    sims[np.arange(len(some)), a + np.arange(len(some))] = -3
+                    top = np.argpartition(-sims, keep - 1, axis=1)[:, :keep]
+                    u, s = np.concatenate([us[some], rows[top]], axis=1), np.concatenate([ss[some], np.take_along_axis(sims, top, 1)], axis=1)
+                    by_id = np.argsort(u, axis=1, kind="stable")
+                    u, s = np.take_along_axis(u, by_id, 1), np.take_along_axis(s, by_id, 1)
+                    s[:, 1:][u[:, 1:] == u[:, :-1]] = -2
+                    best = np.argpartition(-s, width - 1, axis=1)[:, :width]
+                    us[some], ss[some] = np.take_along_axis(u, best, 1), np.take_along_axis(s, best, 1)
+        v, place = np.nonzero(ss > -2)
+        return pa.table({"v": ids[v], "u": ids[us[v, place]], "s": pa.array(ss[v, place], pa.float32())})
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _whole(batches)
@@ -217,56 +299,68 @@ def build(
             yield pa.RecordBatch.from_arrays([pa.array(v[at]), pa.array(u[at]), pa.array(s[at]), pa.array(new[at])], names=["v", "u", "s", "new"])
 
     state = EDGE + ", new int"
-    first = routed.groupBy("leaf", "piece").applyInArrow(brute, EDGE).withColumn("new", F.lit(1))
+    first = placed(vertices).groupBy("block").applyInArrow(grow, EDGE).withColumn("new", F.lit(1))
     edges = cut(first.repartition(parts, "v").mapInArrow(trim, state))
-
-    small = cut(vertices.select(F.col("id").alias("m"), F.col("vec").alias("h")).repartition(parts, "m"))
-
-    def local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _whole(batches)
-        if table is None:
-            return
-        c, m, new, worst = (table.column(n).to_numpy() for n in ("c", "m", "new", "worst"))
-        h = _matrix(table.column("h"), np.float32)
+    start = edges.select("v", "u", "s") if keep_start else None
+    top_tree = {m: own_trees[:1] for m, own_trees in forest.items()}
+    homes = cut(vertices.mapInArrow(route(spark.sparkContext.broadcast(top_tree)), PLACED).select("id", "block"))
+
+    def local_join(lists: pa.Table, members: pa.Table) -> pa.Table:
+        """Pairs around the centres of one block that beat the worst neighbour of one end."""
+        c, m, new, worst = (lists.column(n).to_numpy() for n in ("c", "m", "new", "worst"))
+        ids, h = members.column("id").to_numpy(), _matrix(members.column("vec"), np.float32)
+        by_id = np.argsort(ids)
         order = np.lexsort((-new, m, c))
-        keep = np.r_[True, (c[order][1:] != c[order][:-1]) | (m[order][1:] != m[order][:-1])]
-        order = order[keep]
-        starts = np.flatnonzero(np.r_[True, c[order][1:] != c[order][:-1]])
-        sizes = np.diff(np.r_[starts, len(order)])
-        most = int(sizes.max())
-        lanes = np.arange(most)
+        order = order[np.r_[True, (c[order][1:] != c[order][:-1]) | (m[order][1:] != m[order][:-1])]] if len(order) else order
+        c, m, new, worst = c[order], m[order], new[order], worst[order]
+        row = by_id[np.searchsorted(ids, m, sorter=by_id)] if len(ids) else np.zeros(0, dtype=int)
+        starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.zeros(0, dtype=int)
+        size = np.diff(np.r_[starts, len(c)])
+        lanes = np.arange(int(size.max(initial=0)))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for a in range(0, len(starts), 1000):
-            begin, size = starts[a : a + 1000], sizes[a : a + 1000]
-            valid = lanes < size[:, None]
-            at = order[np.minimum(begin[:, None] + lanes, len(order) - 1)]
-            x = h[at]
+            begin, valid = starts[a : a + 1000], lanes < size[a : a + 1000, None]
+            at = np.minimum(begin[:, None] + lanes, len(c) - 1)
+            x = h[row[at]]
             sims = np.matmul(x, x.transpose(0, 2, 1))
             fresh = (new[at] > 0) & valid
             pair = valid[:, :, None] & valid[:, None, :] & (fresh[:, :, None] | fresh[:, None, :]) & (sims > worst[at][:, :, None])
             pair[:, lanes, lanes] = False
             b, i, j = np.nonzero(pair)
-            v, u, s = m[at[b, i]], m[at[b, j]], sims[b, i, j]
-            best = _best(v, u, s, np.zeros(len(v), dtype=int), width)
-            yield pa.RecordBatch.from_arrays([pa.array(v[best]), pa.array(u[best]), pa.array(s[best].astype(np.float32))], names=["v", "u", "s"])
+            found.append((m[at[b, i]], m[at[b, j]], sims[b, i, j]))
+            if len(found) > 30:
+                found = [_few(found, width)]
+        v, u, s = _few(found, width)
+        return pa.table({"v": pa.array(v, pa.int64()), "u": pa.array(u, pa.int64()), "s": pa.array(s, pa.float32())})
 
     moved: list[int] = []
-    while len(moved) < max_rounds:
-        worst = edges.groupBy("v").agg(F.when(F.count("*") >= width, F.min("s")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
-        told = small.join(worst, small["m"] == worst["v"], "left").select("m", "h", F.coalesce("worst", F.lit(-2.0)).cast("float").alias("worst"))
+    while True:
+        worst = edges.groupBy("v").agg(F.when(F.count("*") >= width, F.min("s")).otherwise(F.lit(-2.0)).cast("float").alias("worst")).select(F.col("v").alias("m"), "worst")
         back = edges.select(F.col("u").alias("c"), F.col("v").alias("m"), "new")
         lot = F.row_number().over(W.partitionBy("c").orderBy(F.desc("new"), F.xxhash64("m", "c", F.lit(len(moved)))))
         back = back.withColumn("lot", lot).filter(F.col("lot") <= reverse).drop("lot")
         around = edges.select(F.col("v").alias("c"), F.col("u").alias("m"), "new").unionByName(back)
         fresh = around.filter("new = 1").select("c").distinct()  # where nothing is new there is nothing to try
-        met = around.join(fresh, "c", "left_semi").join(told, "m").repartition(parts, "c").mapInArrow(local_join, EDGE)
+        around = around.join(fresh, "c", "left_semi").join(homes.withColumnRenamed("id", "c"), "c").join(worst, "m", "left").select("block", "c", "m", "new", F.coalesce("worst", F.lit(-2.0)).cast("float").alias("worst"))
+        around = cut(around)
+        met = around.groupBy("block").cogroup(_fetched(around, "m", vertices).groupBy("at")).applyInArrow(local_join, EDGE)
         merged = edges.withColumn("new", F.lit(0)).unionByName(met.withColumn("new", F.lit(1)))
-        edges = cut(merged.repartition(parts, "v").mapInArrow(trim, state))
+        edges = cut(merged.repartition(parts, "v").mapInArrow(trim, state), None if start is not None and not moved else edges)
         moved.append(edges.filter("new > 0").count())
         if moved[-1] <= settled * total * width:
             break
 
     best = edges.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy(F.desc("s"), "u"))).filter(F.col("r") <= k + 4)
-    return Graph(cut(best.select("v", "u", "s")), vertices.drop("n"), copies, k, len(moved), moved, leaves)
+    return Graph(cut(best.select("v", "u", "s")), vertices, copies, k, len(moved), moved, placed, start)
+
+
+def _few(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `width` best edges of each vertex among those found so far."""
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)
+    v, u, s = (np.concatenate(x) for x in zip(*found))
+    at = _best(v, u, s, np.zeros(len(v), dtype=np.int8), width)
+    return v[at], u[at], s[at].astype(np.float32)
 
 
 def nearest(graph: Graph) -> DataFrame:
@@ -295,29 +389,31 @@ def members(graph: Graph) -> DataFrame:
     return graph.vertices.select("id", "model", "vec").unionByName(others.select("id", "model", "vec"))
 
 
-def search(graph: Graph, queries: DataFrame, k: int = 5, beam: int = 16, broadcast_bytes: int = 32_000_000) -> DataFrame:
+def search(graph: Graph, queries: DataFrame, k: int = 5, beam: int = 16, leaf_rows: int = 512) -> DataFrame:
     """(q, id, s, rank): greedy search of the graph for query vectors (q, model, vec), all queries in step. A query falls into
-    one leaf of every tree of its model (one piece of it, where a leaf was cut) and starts at the `beam` best vertices of each
-    and, for queries whose leaves are empty, `beam` vertices that all queries of the model share; each step scores the unvisited neighbours, in both directions, of its beam's unexpanded vertices, and a query ends when
-    its beam has none left; there is no other limit. Equal queries are searched once, and every vertex found stands for its
-    first k copies."""
+    one block of every tree of its model and there into one leaf of a tree grown for it, and starts at the `beam` best vertices of
+    that leaf and, in case its blocks are empty, at `beam` vertices that all queries of the model share; each step scores the unvisited
+    neighbours, in both directions, of its beam's unexpanded vertices, and a query ends when its beam has none left; there is no
+    other limit. Equal queries are searched once, and every vertex found stands for its first k copies."""
     v = graph.vertices
-    if graph.leaves is None:
+    if graph.placed is None:
         return v.sparkSession.createDataFrame([], "q long, id long, s float, rank int")
-    queries = queries.filter("model is not null")
-    everyone = cut(queries.select("q", "model", F.col("vec").alias("a")))
+    everyone = cut(queries.filter("model is not null").select("q", "model", F.col("vec").alias("a")))
     queries = cut(everyone.groupBy("model", "a").agg(F.min("q").alias("q")))
     equal = everyone.join(queries.withColumnRenamed("q", "head"), ["model", "a"]).select("q", "head")
-    size = queries.agg(F.sum(F.length("a") + 64)).first()[0] or 0
-    # a query set of proven size goes to every task, so that only ids cross the network; a larger one is joined
-    asked = queries.select("q", "a")
-    asked = F.broadcast(asked) if size <= broadcast_bytes else asked
+    places = cut(graph.placed(queries.select(F.col("q").alias("id"), "model", F.col("a").alias("vec"))))
+    asked = bounded(queries.select("q", "a"))  # a query set of proven size goes to every task, so that only ids cross the network; a larger one is joined
 
     def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = _matrix(batch.column("a"), np.float32), _matrix(batch.column("b"), np.float32)
-                yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("u"), pa.array(np.einsum("ij,ij->i", a, b))], names=["q", "u", "s"])
+                s = np.zeros(batch.num_rows, dtype=np.float32)
+                widths = pa.compute.binary_length(batch.column("a")).to_numpy(zero_copy_only=False)
+                for w in np.unique(widths):  # models differ in length
+                    mine = np.flatnonzero(widths == w)
+                    a, b = (_matrix(batch.column(c).take(pa.array(mine)), np.float32) for c in ("a", "b"))
+                    s[mine] = np.einsum("ij,ij->i", a, b)
+                yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("u"), pa.array(s)], names=["q", "u", "s"])
 
     def scored(pairs: DataFrame) -> DataFrame:
         full = pairs.join(v.select(F.col("id").alias("u"), F.col("vec").alias("b")), "u").join(asked, "q")
@@ -330,27 +426,41 @@ def search(graph: Graph, queries: DataFrame, k: int = 5, beam: int = 16, broadca
     def enter(table: pa.Table) -> pa.Table:
         asks = table.column("query").to_numpy(zero_copy_only=False)
         x, ids = _matrix(table.column("vec"), np.float32), table.column("id").to_numpy()
-        a, b, qs, us = x[asks], x[~asks].T, ids[asks], ids[~asks]
-        keep = min(beam, len(us))
-        got = [np.argpartition(-(a[i : i + 1024] @ b), keep - 1, axis=1)[:, :keep] for i in range(0, len(qs) if keep else 0, 1024)]
-        return pa.table({"q": pa.array(np.repeat(qs, keep), pa.int64()), "u": pa.array(us[np.concatenate(got)].ravel() if got else us[:0], pa.int64())})
-
-    asking = graph.leaves(queries.select(F.col("q").alias("id"), "model", F.col("a").alias("vec")))
-    held = graph.leaves(v).join(asking.select("leaf", "piece").distinct(), ["leaf", "piece"], "left_semi")  # leaves without queries stay where they are
-    sides = [df.select("leaf", "piece", "id", "vec", F.lit(side).alias("query")) for df, side in ((held, False), (asking, True))]
-    near = sides[0].unionByName(sides[1]).groupBy("leaf", "piece").applyInArrow(enter, "q long, u long")
+        held, qs, us = np.flatnonzero(~asks), [], []
+        rng = np.random.default_rng(table.column("block")[0].as_py())
+        work = [(held[np.argsort(ids[held])], np.flatnonzero(asks))] if len(held) else []
+        while work:
+            mine, asking = work.pop()
+            if not len(asking):
+                continue
+            if len(mine) > leaf_rows:
+                normal = _direction(x[mine], rng)
+                p = x[mine] @ normal
+                middle = np.median(p)
+                if (p > middle).any():
+                    side = x[asking] @ normal > middle
+                    work += [(mine[p <= middle], asking[~side]), (mine[p > middle], asking[side])]
+                    continue
+            keep = min(beam, len(mine))
+            for i in range(0, len(asking), 1024):
+                near = np.argpartition(-(x[asking[i : i + 1024]] @ x[mine].T), keep - 1, axis=1)[:, :keep]
+                qs.append(np.repeat(ids[asking[i : i + 1024]], keep)), us.append(ids[mine[near]].ravel())
+        cat = lambda z: pa.array(np.concatenate(z) if z else np.zeros(0, dtype=np.int64), pa.int64())
+        return pa.table({"q": cat(qs), "u": cat(us)})
+
+    held = graph.placed(v).join(bounded(cut(places.select("block").distinct())), "block", "left_semi").withColumn("query", F.lit(False))  # blocks without queries stay where they are
+    near = held.unionByName(places.withColumn("query", F.lit(True))).groupBy("block").applyInArrow(enter, "q long, u long")
     hashed = F.row_number().over(W.partitionBy("model").orderBy(F.xxhash64("id")))
-    shared = v.withColumn("h", hashed).filter(F.col("h") <= beam).select("model", F.col("id").alias("u"))
+    shared = v.select("id", "model").withColumn("h", hashed).filter(F.col("h") <= beam).select("model", F.col("id").alias("u"))
     seen = cut(scored(near.unionByName(queries.join(shared, "model").select("q", "u")).distinct()))
     while True:
         held = seen.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= beam)
         front = held.filter("done = 0").select("q", F.col("u").alias("v"))
         reach = front.join(links, "v").select("q", "u").distinct().join(seen.select("q", "u"), ["q", "u"], "left_anti")
-        grown = cut(held.select("q", "u", "s", F.lit(1).alias("done")).unionByName(scored(reach)))
+        grown = cut(held.select("q", "u", "s", F.lit(1).alias("done")).unionByName(scored(reach)), seen)
+        seen = grown
         if grown.filter("done = 0").isEmpty():
-            seen = grown
             break
-        seen = grown
     best = seen.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= k).drop("r")
     first = graph.copies.withColumn("at", F.row_number().over(W.partitionBy("rep").orderBy("id"))).filter(F.col("at") <= k)
     told = best.join(first.select(F.col("rep").alias("u"), F.col("id").alias("o")), "u", "left").select(F.col("q").alias("head"), F.coalesce("o", "u").alias("id"), "s")

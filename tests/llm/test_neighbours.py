@@ -40,8 +40,12 @@ def test_small_collections_are_exact(spark):
 def test_descent_and_search_reach_the_recall(spark):
     """Leaves far smaller than the collection, so that trees alone do not suffice; a third of it is one tight crowd."""
     x = np.vstack([clustered(1400, seed=1), np.random.default_rng(2).standard_normal(16) + 0.02 * np.random.default_rng(3).standard_normal((700, 16))])
-    g = nb.build(usable(spark, [(i, "m", v) for i, v in enumerate(x)]), trees=2, leaf_rows=60)
+    g = nb.build(usable(spark, [(i, "m", v) for i, v in enumerate(x)]), trees=2, leaf_rows=60, block_rows=400, keep_start=True)
     want = brute(np.arange(len(x)), x, 5)
+    begun = {}
+    for r in g.start.collect():
+        begun.setdefault(r.v, []).append((-r.s, r.u))
+    assert g.placed(g.vertices).groupBy("block").count().count() > 6 and sum(u in want[v] for v, us in begun.items() for _, u in sorted(us)[:5]) < 0.8 * 5 * len(x)  # the descent finds the rest
     near = nb.nearest(g).collect()
     hits = sum(r.other in want[r.id] for r in near)
     assert g.rounds > 1 and g.moved[0] > g.moved[-1] and hits >= 0.9 * 5 * len(x)
@@ -90,8 +94,8 @@ def test_search_walks_as_far_as_it_must(spark):
     x[:, 0], x[:, 1] = np.cos(at), np.sin(at)
     g = nb.build(usable(spark, [(i, "m", v) for i, v in enumerate(x)]))
     g.edges = spark.createDataFrame([(i, i + 1, float(x[i] @ x[i + 1])) for i in range(n - 1)], nb.EDGE)
-    whole, vertices = g.leaves, g.vertices
-    g.leaves = lambda df: whole(df).filter("false" if df is vertices else "true")
+    whole, vertices = g.placed, g.vertices
+    g.placed = lambda df: whole(df).filter("false" if df is vertices else "true")
     # the hash picks two vertices for all; the walk from them to the end that is farther off takes more than eight steps
     picked = [r.id for r in vertices.selectExpr("id", "xxhash64(id) h").orderBy("h").limit(2).collect()]
     far = max((0, n - 1), key=lambda e: min(abs(e - p) for p in picked))
@@ -115,12 +119,29 @@ def test_the_query_answers_every_row(spark, tmp_path):
     assert all(got[q] == set([i for i in crowd if i != q][:5]) for q in (100, 120, 140))
 
 
+def test_blocks_grow_until_none_is_too_large(spark):
+    """Whatever the sample, blocks are bounded and every vertex lies in one block of each tree."""
+    x = np.vstack([clustered(600, seed=9), np.repeat([[1.0] + [0.0] * 15], 300, axis=0) + 1e-5 * np.random.default_rng(1).standard_normal((300, 16))])
+    for sample in (64, 2000):
+        g = nb.build(usable(spark, [(i, "m", v) for i, v in enumerate(x)]), block_rows=50, leaf_rows=20, sample_rows=sample, node_rows=8)
+        rows = g.placed(g.vertices).groupBy("block").count().collect()
+        assert max(r["count"] for r in rows) <= 1.3 * 50 and sum(r["count"] for r in rows) == 3 * len(x)
+
+
+def test_equal_rows_of_the_same_moment(spark):
+    """Rows of one id that differ: one of them counts, the same for its vector and its class."""
+    x = clustered(10, seed=3)
+    rows = [(i, "m", v) for i, v in enumerate(x)] + [(0, "m", x[5]), (1, "m", x[1])]
+    g = nb.build(usable(spark, rows))
+    assert sorted(r.id for r in nb.members(g).collect()) == list(range(10))
+
+
 def test_what_takes_no_part(spark):
     nan, inf = float("nan"), float("inf")
     good = [1.0] * 15 + [0.5]
     rows = [(1, "m", good), (2, "m", [0.0] * 16), (3, "m", [nan] + [1.0] * 15), (4, "m", [inf] + [1.0] * 15), (5, "m", [1.0] * 8), (6, "m", None), (7, "other", good), (8, None, good), (None, "m", good), (9, "m", [1.0] * 16), (9, "m", [1.0] * 16), (10, "m", []), (11, "m", [1e-30] * 16)]
     v = usable(spark, rows)
-    assert sorted(r.id for r in v.collect()) == [1, 9, 11]
+    assert sorted(r.id for r in v.collect()) == [1, 9, 9, 11]
     near = sorted((r.id, r.other) for r in nb.nearest(nb.build(v)).collect())
     assert near == [(1, 9), (1, 11), (9, 1), (9, 11), (11, 1), (11, 9)]
 
