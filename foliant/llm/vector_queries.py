@@ -10,10 +10,14 @@ from foliant.llm import neighbours
 from foliant.sources.tables import table
 
 
-def _graph(spark: SparkSession, sf: str) -> neighbours.Graph:
+def usable_vectors(spark: SparkSession, sf: str) -> DataFrame:
     meta = table(spark, sf, "vector_meta").select("model", "dimension").filter("model is not null and dimension > 0")
     dimensions = {r[0]: r[1] for r in meta.collect()}  # fixed, small
-    return neighbours.build(neighbours.usable(table(spark, sf, "embedding_cache"), dimensions, "vec_id", "model", "embedding", "cached_at"))
+    return neighbours.usable(table(spark, sf, "embedding_cache"), dimensions, "vec_id", "model", "embedding", "cached_at")
+
+
+def _graph(spark: SparkSession, sf: str) -> neighbours.Graph:
+    return neighbours.build(usable_vectors(spark, sf))
 
 
 def p3_neighbours(spark: SparkSession, sf: str) -> DataFrame:
