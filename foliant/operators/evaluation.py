@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -127,3 +128,23 @@ def passed(compared: DataFrame) -> bool:
 
 def disk_ratio(index_bytes: Column, doc_bytes: Column) -> Column:
     return F.when(doc_bytes > 0, index_bytes / doc_bytes * 100).otherwise(0.0)
+
+
+def report(metrics: DataFrame, compared: DataFrame | None = None) -> str:
+    """Markdown of a (metric, kind, value) table, with the comparison of regression() if there is one. Metrics are few."""
+    lines = ["# Benchmark", "", "| Metric | Kind | Value |", "|---|---|---|"]
+    lines += [f"| {r['metric']} | {r['kind']} | {r['value']:.4f} |" for r in metrics.orderBy("metric").collect()]
+    if compared is not None:
+        lines += ["", "| Metric | Baseline | Current | Change % | Status |", "|---|---|---|---|---|"]
+        lines += [f"| {r['metric']} | {r['baseline']:.4f} | {r['current']:.4f} | {r['change_percent']:+.1f} | {r['status']} |" for r in compared.orderBy("metric").collect()]
+    return "\n".join(lines) + "\n"
+
+
+def to_json(metrics: DataFrame) -> str:
+    """A baseline that from_json reads again."""
+    return json.dumps({r["metric"]: {"kind": r["kind"], "value": r["value"]} for r in metrics.orderBy("metric").collect()}, indent=1)
+
+
+def from_json(spark: SparkSession, text: str) -> DataFrame:
+    rows = [(m, v["kind"], float(v["value"])) for m, v in json.loads(text).items()]
+    return spark.createDataFrame(rows, "metric string, kind string, value double")

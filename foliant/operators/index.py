@@ -62,6 +62,23 @@ def needs_rebuild(schema_version: int | None, chunk_version: int | None) -> bool
     return (schema_version or 0) < SCHEMA_VERSION or (chunk_version or 0) < CHUNK_VERSION
 
 
+def ensure_fresh(store, docs: DataFrame, build: Callable[[DataFrame], DataFrame]) -> dict:
+    """Bring a stored index up to date and tell what was done: mode (none, incremental, full) and the numbers of added, modified and
+    deleted files. docs: (project, file, mtime_secs, size_bytes, ...) of all present files, what build makes chunks from. The store
+    holds the tables chunks and files and the format's versions; an older format, or none, is built from nothing."""
+    meta, recorded, base = store.meta(), store.read("files"), store.version()
+    state = docs.select(*FILE, "mtime_secs", "size_bytes")
+    versions = {"schema_version": SCHEMA_VERSION, "chunk_version": CHUNK_VERSION}
+    if recorded is None or needs_rebuild(meta.get("schema_version"), meta.get("chunk_version")):
+        store.publish({"chunks": build(docs), "files": state}, versions, base=base)
+        return {"mode": "full", "added": state.count(), "modified": 0, "deleted": 0}
+    diff = diff_state(state, recorded)
+    found = change_summary(diff).first()
+    if found["is_stale"]:
+        store.publish({"chunks": build_incremental(store.read("chunks"), docs, diff, build), "files": state}, versions, base=base)
+    return {"mode": "incremental" if found["is_stale"] else "none", **{k: found[k] for k in ("added", "modified", "deleted")}}
+
+
 def without_vectors(docs: DataFrame, vectors: DataFrame, by_hash: bool = True) -> DataFrame:
     """Files that must be embedded: those without vectors of their present content (by_hash) or without any."""
     on = [*FILE, "hash"] if by_hash else FILE

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
@@ -179,3 +179,29 @@ def promote_score(docs: DataFrame, projects: DataFrame) -> DataFrame:
     scored = low.join(named, F.contains(F.col("_path"), name) | F.contains(F.col("_body"), name)).select("file", "candidate", score.alias("score")).filter("score > 0")
     best = scored.groupBy("file").agg(F.max(F.struct("score", "candidate")).alias("b"))
     return docs.select("file").distinct().join(best, "file", "left").select("file", F.coalesce("b.candidate", F.lit("inbox")).alias("project"), F.coalesce("b.score", F.lit(0)).alias("score"))
+
+
+def opted_out(docs: DataFrame) -> DataFrame:
+    """(project, files, opted_out): files of a project and how many of them a draft mark or deprecation in the front matter keeps
+    out of the index."""
+    skip = T.should_skip(F.col("content"))
+    return docs.groupBy("project").agg(F.count("*").alias("files"), F.count_if(skip).alias("opted_out"))
+
+
+def resolve_project(known: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked, project, how) of each row of asked (asked): the project of that name, else the one of that name without regard to case,
+    else the only one that begins with it, else none. known: (project)."""
+    k = known.select("project").distinct().withColumn("_l", F.lower("project"))
+    a = asked.select("asked").distinct().withColumn("_q", F.lower(F.trim("asked")))
+    met = a.filter("_q <> ''").join(k, F.expr("startswith(_l, _q)"))  # project names are few
+    way = F.when(F.col("project") == F.col("asked"), 0).when(F.col("_l") == F.col("_q"), 1).otherwise(2)
+    best = met.withColumn("_w", way).groupBy("asked").agg(F.min("_w").alias("_w"), F.min(F.struct(way.alias("w"), "project")).alias("_b"), F.count("*").alias("_n"))
+    name = F.when((F.col("_w") < 2) | (F.col("_n") == 1), F.col("_b.project"))
+    how = F.when(name.isNull(), "none").when(F.col("_w") == 0, "exact").when(F.col("_w") == 1, "case").otherwise("prefix")
+    return a.select("asked").join(best.select("asked", name.alias("project"), how.alias("how")), "asked", "left").withColumn("how", F.coalesce("how", F.lit("none")))
+
+
+def safe_path(path: Column) -> Column:
+    """Whether a path stays within its root: relative, without a '..' step, a drive, a scheme or a NUL; backslashes read as slashes."""
+    p = F.regexp_replace(F.coalesce(path, F.lit("")), r"\\", "/")
+    return (p != "") & ~p.rlike(r"^/|^[A-Za-z]:|^[A-Za-z][A-Za-z0-9+.-]*://|(^|/)\.\.(/|$)|\x00")

@@ -180,6 +180,45 @@ def search_vault(chunks: DataFrame, query: str, limit: int = 10) -> DataFrame:
     return best_per_file(bm25_scores(chunks, query), "file").orderBy(*_order("chunk_id")).limit(limit)
 
 
+def search_vault_hybrid(chunks: DataFrame, vectors: DataFrame, query: str, query_vec: Sequence[float] | None, limit: int = 10) -> DataFrame:
+    """Fusion within one vault: as search_hybrid, but files are told apart by name only and no project has a cap."""
+    from foliant.operators.vectors import search_vector
+
+    ranked = search_vault(chunks, query, 2 * limit).select(*KEY, "score")
+    if not query_vec:
+        return with_snippets(ranked.orderBy(*_order("chunk_id")).limit(limit), chunks).withColumn("mode", F.lit("bm25-only"))
+    near = search_vector(vectors, query_vec, 2 * limit)
+    return with_snippets(rrf(ranked, near, limit), chunks).withColumn("mode", F.lit("hybrid-bm25-vector" if words(query) else "vector-only"))
+
+
+def result(rows: DataFrame, source: str, limit: int | None = None) -> DataFrame:
+    """Any search's rows in the schema common to all: project, file, line, snippet, score, source, truncated. rows: one more
+    than limit where there are more, so that `truncated` can be told; without a limit nothing is cut."""
+    have = set(rows.columns)
+    line = F.col("line") if "line" in have else F.col("line_start") if "line_start" in have else F.lit(0)
+    snippet = F.col("snippet") if "snippet" in have else F.col("body") if "body" in have else F.lit("")
+    score = F.col("score") if "score" in have else F.col("hits") if "hits" in have else F.lit(0)
+    out = rows.select(
+        T.text("project").alias("project"), T.text("file").alias("file"), F.coalesce(line.cast("long"), F.lit(0)).alias("line"), F.coalesce(snippet, F.lit("")).alias("snippet"),
+        F.coalesce(score.cast("double"), F.lit(0.0)).alias("score"), F.lit(source).alias("source"),
+    )
+    if limit is None:
+        return out.withColumn("truncated", F.lit(False))
+    total = F.count("*").over(W.partitionBy(F.lit(1)))  # rows are a limited result
+    return out.withColumn("truncated", total > limit).orderBy(F.desc("score"), "project", "file", "line").limit(limit)
+
+
+def search_fallback(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vec: Sequence[float] | None, limit: int = 20, project: str | None = None) -> DataFrame:
+    """Hybrid search where there are vectors and a query vector, ranked search otherwise, in the common schema; the limit is held
+    between 1 and 100. An empty query is an error where there is no query vector either."""
+    limit = min(max(limit, 1), 100)
+    if not query.strip() and not query_vec:
+        raise ValueError("empty query")
+    if vectors is not None and query_vec:
+        return result(search_hybrid(chunks, vectors, query, query_vec, limit + 1, project), "hybrid", limit)
+    return result(search_ranked(chunks, query, limit + 1, project), "bm25", limit)
+
+
 def search_all_vaults(vaults: dict[str, DataFrame], query: str, limit: int = 10) -> DataFrame:
     """Results of all vaults below each other, by raw score."""
     each = [search_vault(c, query, limit).withColumn("vault", F.lit(name)) for name, c in vaults.items()]
@@ -214,6 +253,14 @@ def search_auto(chunks: DataFrame, docs: DataFrame, query: str, limit: int = 20,
     return "grep", search_grep(docs, query, limit, project)
 
 
+def search_fresh(store, docs: DataFrame, build, query: str, limit: int = 20, project: str | None = None) -> DataFrame:
+    """Ranked search over a stored index that is brought up to date first."""
+    from foliant.operators.index import ensure_fresh
+
+    ensure_fresh(store, docs, build)
+    return search_ranked(store.read("chunks"), query, limit, project)
+
+
 def bm25_batch(chunks: DataFrame, queries: dict[str, str], limit: int = 20, boosts: dict[str, float] | None = None) -> DataFrame:
     """(qid, project, file, chunk_id, score, rank): the best chunks of many queries in one pass over the corpus.
 

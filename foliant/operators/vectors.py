@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+FILE = ["project", "file"]
 ANN_FROM = 5000  # rows from which approximate search is worth an index
 
 
@@ -42,11 +45,6 @@ def search_batch(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFram
     """Top k for every (qid, query) at once: qid, project, file, chunk_id, score, rank. queries is a stated set of at most 100 000
     rows, which is checked; beyond that the graph search is the way. Each Arrow batch of vectors meets the queries as matrices and
     sends on its best k a query."""
-    from collections.abc import Iterator
-
-    import numpy as np
-    import pandas as pd
-
     asked = queries.select(F.col("qid").cast("string").alias("qid"), F.col("query").cast("array<double>")).limit(100_001).collect()
     if len(asked) > 100_000:
         raise ValueError("too many queries for an exact scan")
@@ -97,9 +95,9 @@ def search_lsh(vectors: DataFrame, query: Sequence[float], limit: int, project:
     return near.select("project", "file", "chunk_id", (1 - F.col("d") * F.col("d") / 2).alias("score"))
 
 
-def search(vectors: DataFrame, query: Sequence[float], limit: int, project: str | None = None) -> DataFrame:
-    """Exact below ANN_FROM rows, by hashing from there."""
-    if vectors.limit(ANN_FROM).count() < ANN_FROM:
+def search(vectors: DataFrame, query: Sequence[float], limit: int, project: str | None = None, ann_from: int = ANN_FROM) -> DataFrame:
+    """Exact below ann_from rows, by hashing from there; 0 always hashes, a number above the rows never does."""
+    if vectors.limit(ann_from).count() < ann_from:
         return search_vector(vectors, query, limit, project)
     return search_lsh(vectors, query, limit, project)
 
@@ -126,6 +124,73 @@ def split_cache(texts: DataFrame, cache: DataFrame, model: str) -> tuple[DataFra
     return texts.join(c, "hash"), texts.join(c, "hash", "left_anti")
 
 
+def store_meta(vectors: DataFrame, model: str) -> DataFrame:
+    """One row: model, dimension (of the longest vector, 0 if there is none), vector_count."""
+    return vectors.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dimension"), F.count("*").alias("vector_count")).select(F.lit(model).alias("model"), "dimension", "vector_count")
+
+
+def is_empty(vectors: DataFrame) -> bool:
+    return vectors.isEmpty()
+
+
+def has_file(vectors: DataFrame, files: DataFrame) -> DataFrame:
+    """files with a column has_vectors: whether any chunk of (project, file) has a vector."""
+    have = vectors.select(*FILE).distinct().withColumn("_has", F.lit(True))
+    return files.join(have, FILE, "left").withColumn("has_vectors", F.coalesce("_has", F.lit(False))).drop("_has")
+
+
+def delete(vectors: DataFrame, project: str | None = None, keys: DataFrame | None = None, everything: bool = False) -> DataFrame:
+    """The store without a project's vectors, without those of the given keys (any of project, file, chunk_id), or without any."""
+    if everything:
+        return vectors.limit(0)
+    if project is not None:
+        vectors = vectors.filter(~F.col("project").eqNullSafe(F.lit(project)))
+    if keys is not None:
+        vectors = vectors.join(keys.distinct(), keys.columns, "left_anti")
+    return vectors
+
+
+def put_cache(cache: DataFrame, fresh: DataFrame, order: str | None = None) -> DataFrame:
+    """The embedding cache (content_hash, model, embedding) with fresh rows in place of those of the same hash and model; vectors that are
+    missing or empty are not cached."""
+    from foliant.operators.index import upsert
+
+    return upsert(cache, fresh.filter(F.coalesce(F.size("embedding"), F.lit(0)) > 0), ["content_hash", "model"], order)
+
+
+def embed(chunks: DataFrame, factory: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]], text: str = "body") -> DataFrame:
+    """chunks with a column `embedding` (array<float>) by a model of the caller's: factory is called once a task and gives a function from
+    texts to vectors, which gets an Arrow batch of texts at a time. Missing texts read as ''."""
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = factory()
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch]
+            yield pd.Series([[float(x) for x in v] for v in model(texts)] if texts else [], dtype="object")
+
+    return chunks.withColumn("embedding", run(F.col(text)))
+
+
+def to_blob(embedding: Column) -> Column:
+    """A vector as hexadecimal text of its little-endian 32-bit floats."""
+
+    @F.pandas_udf("string")
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else np.asarray(x, dtype="<f4").tobytes().hex())
+
+    return run(embedding)
+
+
+def from_blob(blob: Column) -> Column:
+    """The vector of such a text; null where it is no whole number of floats."""
+
+    @F.pandas_udf("array<float>")
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None or len(x) % 8 else np.frombuffer(bytes.fromhex(x), dtype="<f4").tolist())
+
+    return run(blob)
+
+
 def valid_vectors(vectors: DataFrame, meta: DataFrame, model: str, dimension: int) -> DataFrame:
     """The stored vectors if their meta row names this model and dimension, none otherwise."""
     same = meta.filter((F.col("model") == model) & (F.col("dimension") == dimension)).limit(1).select(F.lit(True).alias("_ok"))

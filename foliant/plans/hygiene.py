@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import chunking, code_index, graph, index, policy, search
+from foliant.operators import chunking, code_index, evaluation, graph, index, policy, search
 from foliant.operators.incremental import norm_path
 from foliant.plans.retrieval import CHUNKS, Q1, Q2, _bm25, chunks
 from foliant.sources.tables import docs, table
@@ -225,7 +225,10 @@ def missing_vectors(spark, sf):
 
 
 def id_stamp(spark, sf):
-    return index.id_stamp(table(spark, sf, "documents"), "doc_id").select("ids")
+    """The stamp itself, and whether it stays the same when rows come in another order or twice."""
+    d = table(spark, sf, "documents").select("doc_id")
+    a, b = index.id_stamp(d, "doc_id"), index.id_stamp(d.unionByName(d).repartition(3, "doc_id"), "doc_id").select(F.col("stamp").alias("other"))
+    return a.crossJoin(F.broadcast(b)).select("ids", (F.col("stamp") == F.col("other")).alias("steady"), (F.length("stamp") > 0).alias("stamped"))
 
 
 def projects_summary(spark, sf):
@@ -238,7 +241,7 @@ def disk_usage(spark, sf):
     """Files, bytes of documents and of their chunks, per project."""
     c = chunks(spark, sf).groupBy("project").agg(F.countDistinct("file").alias("files"), F.sum(F.octet_length("body")).cast("long").alias("chunk_bytes"))
     d = table(spark, sf, "doc_files").groupBy(T.text("project").alias("project"), "file").agg(F.max(F.coalesce("size_bytes", F.lit(0))).alias("s")).groupBy("project").agg(F.sum("s").cast("long").alias("doc_bytes"))
-    return c.join(d, "project").select("project", "files", "chunk_bytes", "doc_bytes", F.round(F.col("chunk_bytes") / F.col("doc_bytes") * 100, 4).alias("ratio"))
+    return c.join(d, "project").select("project", "files", "chunk_bytes", "doc_bytes", F.round(evaluation.disk_ratio(F.col("chunk_bytes"), F.col("doc_bytes")), 4).alias("ratio"))
 
 
 def overview(spark, sf):
@@ -455,7 +458,7 @@ z AS (SELECT *, list_filter(range(f+1, len(l)+1), lambda i: regexp_matches(l[i],
     "change_report": f"WITH {_DIFF} SELECT count(*) FILTER (status='added') AS added, count(*) FILTER (status='modified') AS modified, count(*) FILTER (status='deleted') AS deleted, count(*) FILTER (status='unchanged') AS unchanged, count(*) FILTER (status<>'added') AS total_indexed, count(*) FILTER (status<>'unchanged')>0 AS is_stale FROM df",
     "incremental_merge": f"SELECT project, count(*) AS chunks, sum(length(body)+CASE WHEN chunk_id%2=1 THEN 1000 ELSE 0 END)::BIGINT AS size FROM ({CHUNKS}) GROUP BY 1",
     "missing_vectors": f"SELECT DISTINCT project, file FROM ({CHUNKS}) c WHERE NOT EXISTS (SELECT 1 FROM vector_results v WHERE coalesce(v.project,'')=c.project AND v.file=c.file)",
-    "id_stamp": "SELECT count(DISTINCT doc_id) AS ids FROM documents",
+    "id_stamp": "SELECT count(DISTINCT doc_id) AS ids, true AS steady, true AS stamped FROM documents",
     "projects_summary": f"""WITH f AS (SELECT DISTINCT coalesce(project,'') AS project, coalesce(file,'') AS file FROM index_chunks), c AS (SELECT project, count(*) FILTER ({_EXT('file')} IN {_IN(T.DOC_EXTENSIONS)}) AS doc_count FROM f GROUP BY 1),
 m AS (SELECT c.project, string_agg(r.name, ',' ORDER BY r.pos) AS missing FROM c CROSS JOIN {_REQ(policy.CORE)} r(name, pos) WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.project=c.project AND f.file=r.name) GROUP BY 1) SELECT c.project, doc_count, coalesce(missing,'') AS missing FROM c LEFT JOIN m USING (project)""",
     "disk_usage": f"WITH c AS (SELECT project, count(DISTINCT file) AS files, sum(strlen(body))::BIGINT AS chunk_bytes FROM ({CHUNKS}) GROUP BY 1), d AS (SELECT project, sum(s)::BIGINT AS doc_bytes FROM (SELECT coalesce(project,'') AS project, file, max(coalesce(size_bytes,0)) AS s FROM doc_files GROUP BY 1, 2) GROUP BY 1) SELECT project, files, chunk_bytes, doc_bytes, round(chunk_bytes/doc_bytes::DOUBLE*100, 4) AS ratio FROM c JOIN d USING (project)",
