@@ -6,9 +6,9 @@ nowiki (wiki). A span counts for the language that opens it and nothing inside i
 the constructs of each language with the renderers' own conditions: flanking rules for emphasis, delimiter rows for tables,
 definitions for reference links, element names for tags, dollar signs that touch their formula. HTML elements become a tree.
 
-Both answers come from that parse. `languages` names the languages with at least one construct; `text` turns every construct
-into an edit of the original (marks deleted, tags and commands replaced) and applies them all in one pass, so nothing is scanned
-again and no stand-in characters are needed. Structure keeps one plain form: '# ' headings, '- ' and '1. ' lists, fenced
+Both answers come from that parse. Every construct becomes an edit of the original (marks deleted, tags and commands replaced, text
+outside the content left out) and counts for its language there; `languages` names the languages that were met, `text` applies all
+edits in one pass, so nothing is scanned again and no stand-in characters are needed. Structure keeps one plain form: '# ' headings, '- ' and '1. ' lists, fenced
 code, ' | ' table rows, $ and $$ formulas.
 
 HTML goes through composite text density (Sun, Song and Liao, 2011): every node's density is its characters per tag, scaled
@@ -218,7 +218,6 @@ _TEMPLATE_HEAD = re.compile(r"\s*[#:]?[A-Za-z]")
 _WIKI_LINK = re.compile(r"(?<![\w\])])!?\[\[(?!\s)([^\[\]\n|]+)(\|[^\[\]\n]*)?\]\]")
 _WIKI_HEADING = re.compile(r"^(={1,6})[ \t]*([^=\s](?:[^\n]*?[^=\s])?)[ \t]*\1[ \t\r]*$", re.M)
 _QUOTES = re.compile(r"\n|(?<!')'{2,5}(?!')")
-_COMMAND = re.compile(r"(?<![\w:\\])\\([A-Za-z]+)\*?(\{|\[[^\[\]\n]*\]\s*\{)?")
 _ATX = re.compile(r"^[ ]{0,3}#{1,6}(?:[ \t]+\S.*|[ \t]*\r?)$", re.M)
 _DELIMITER = re.compile(r"^[ ]{0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t\r]*$")
 _BULLET = re.compile(r"^([ \t]*)([-*+])([ \t]+)(\[[ xX]\][ \t]+)?(\S.*)$")
@@ -229,7 +228,6 @@ _RULE = re.compile(r"[-*_ \t\r]+\Z")
 _INDENTED = re.compile(r"(?: {4,}|\t)[^\s\0]")
 _LINE = re.compile(r"^(?: {4}|\t|[ \t]{0,3}[-*+=>|:0-9])", re.M)
 _DESTINATION = r"\((?:<[^<>\n]*>|[^\s()<>\0]*(?:\([^\s()]*\)[^\s()]*)*)(?:\s+(?:\"[^\"\n]*\"|'[^'\n]*'|\([^)\n]*\)))?\s*\)"
-_INLINE_LINK = re.compile(r"!?\[(?:!\[[^\]\n]*\]\([^)\n]*\)|[^\[\]\n]|\[[^\[\]\n]*\])*+\]" + _DESTINATION)
 _GOES_TO = re.compile(_DESTINATION)
 _DEFINITION = re.compile(r"^[ ]{0,3}\[([^\[\]\n^]+)\]:[ \t]*(?:<[^<>\n]*>|\S+)(?:[ \t]+(?:\"[^\"\n]*\"|'[^'\n]*'|\([^)\n]*\)))?[ \t\r]*$", re.M)
 _AUTOLINK = re.compile(r"<((?:https?|ftp|mailto):[^\s<>]+)>")
@@ -309,21 +307,15 @@ def _is_setext(line: str, before: str | None) -> bool:
     return bool(before) and bool(before.strip(" \t\r\0")) and bool(_UNDER.match(line)) and not _BULLET.match(before) and not _UNDER.match(before) and "|" not in before and not before.startswith(("    ", "\t"))
 
 
-def _has_markdown(t: str) -> bool:
-    if "#" in t and _ATX.search(t) or "](" in t and _INLINE_LINK.search(t) or "]:" in t and _DEFINITION.search(t) or "<" in t and _AUTOLINK.search(t):
+def _opens_block(line: str, before: str | None) -> bool:
+    """Whether a line opens a list, quote, table or indented code; before the first list, so that a deep indent continues none."""
+    bare = line.lstrip(" \t")
+    c, after_text = bare[:1], bool(before) and bool(before.strip(" \t\r\0"))
+    if c and c in "-*+" and (m := _BULLET.match(line)) and len(m[1]) < 4 and not _RULE.match(line):
         return True
-    for _, _, line, before in Lines(t):  # once a list is met the answer is known, so a deep indent is no list's continuation
-        bare = line.lstrip(" \t")
-        c, after_text = bare[:1], bool(before) and bool(before.strip(" \t\r\0"))
-        if _is_setext(line, before):
-            return True
-        if c and c in "-*+" and (m := _BULLET.match(line)) and len(m[1]) < 4 and not _RULE.match(line):
-            return True
-        if c.isdigit() and (m := _NUMBER.match(line)) and len(m[1]) < 4 and (not after_text or m[2] == "1" or _NUMBER.match(before)):
-            return True
-        if c == ">" and _QUOTE.match(line) or c and c in "-|:" and _is_delimiter(line, before) or not after_text and _INDENTED.match(line):
-            return True
-    return ("*" in t or "_" in t or "~" in t) and any(next(_emphasis(t[a:b]), None) for a, b in _blocks(t))
+    if c.isdigit() and (m := _NUMBER.match(line)) and len(m[1]) < 4 and (not after_text or m[2] == "1" or _NUMBER.match(before)):
+        return True
+    return bool(c == ">" and _QUOTE.match(line) or c and c in "-|:" and _is_delimiter(line, before) or not after_text and _INDENTED.match(line))
 
 
 _VOID = frozenset("area base basefont bgsound br col embed frame hr img input link meta param source track wbr".split())
@@ -384,8 +376,8 @@ class Tree:
         text_up_to(len(rest), len(rest))
 
     def densities(self) -> None:
-        """Composite text density of every node, and the sum over its children. The link-dependent base of the logarithm is e at
-        least: near 1, where a text with hardly any links would put it, small blocks would get any density."""
+        """Composite text density of every node, and the sum over its children. A count of 0 reads as 1 wherever it stands, which
+        also keeps the base of the logarithm, the logarithm of a sum above 1 + e, away from 1."""
         n = len(self.tag)
         chars, tags, linked, links = self.chars, [0] * n, [0] * n, [0] * n
         for i in range(n - 1, 0, -1):
@@ -399,10 +391,9 @@ class Tree:
         self.density, self.total, self.linked = [0.0] * n, [0.0] * n, linked
         share = max(1, linked[0]) / max(1, chars[0])
         for i in range(n - 1, -1, -1):
-            c, t, lc, lt = chars[i], max(1, tags[i]), linked[i], max(1, links[i])
+            c, t, lc, lt = chars[i], max(1, tags[i]), max(1, linked[i]), max(1, links[i])
             if c:
-                base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
-                self.density[i] = c / t * math.log(max(1.0001, c / max(1, lc) * t / lt), max(math.e, base))
+                self.density[i] = c / t * math.log(c / lc * t / lt, math.log(c / max(1, c - lc) * lc + share * c + math.e))
             if not tags[i]:
                 self.total[i] = self.density[i]
             if i:
@@ -456,7 +447,7 @@ class Tree:
 _GONE = frozenset("cite ref label eqref pageref vspace hspace includegraphics begin end bibliographystyle bibliography usepackage documentclass".split())
 _FIRST_GONE = frozenset("href textcolor hyperref colorbox".split())
 _LEVELS = {"chapter": 1, "part": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 1, "subparagraph": 2}
-_LATEX_STEP = re.compile(r"[{}]|(?<![\w:\\])\\([A-Za-z]+)\*?((?:\[[^\[\]\n]*\][ \t]*)?\{)?")
+_LATEX_STEP = re.compile(r"[{}]|(?<![\w:\\])\\([A-Za-z]+)\*?((?:\[[^\[\]\n]*\][ \t]*)?\{|(?=\[[^\[\]\n]*\]\s*\{))?")
 _OPTIONS = re.compile(r"(?:\[[^\[\]\n]*\]|\{[^{}\n]*\})*")
 _ITEM_LINE = re.compile(r"^[ \t]*(?=\\item\b)", re.M)
 _SPACES = re.compile(r"[ \t]*")
@@ -470,7 +461,7 @@ Edit = tuple[int, int, str, bool]  # start, end, what stands there instead, and
 
 
 class Parsed:
-    """One parse of a text; languages() and text() read it."""
+    """One parse of a text; languages() and text() read its edits."""
 
     def __init__(self, text: str | None):
         self.source = (text or "").replace("\r\n", "\n").replace("\r", "\n").replace("\0", " ")
@@ -488,6 +479,8 @@ class Parsed:
         self.marked = rest  # what the tree is built from
         self.rest = self._without(rest, [m.span() for m in self.tags])
         self._wiki()
+        self.found: set[str] = set()  # the language of every construct that edits() has come to
+        self._made: list[Edit] | None = None
 
     @staticmethod
     def _without(t: str, ranges: Sequence[tuple[int, int]]) -> str:
@@ -575,33 +568,29 @@ class Parsed:
 
     def languages(self) -> set[str]:
         """The markup languages of which the text holds at least one construct."""
-        found = {_KIND_LANGUAGE.get(kind, "html") for _, _, kind, _, _ in self.spans.found}
-        if self.tags or self.references or self.doctypes:
-            found.add("html")
-        if self.tables or self.templates or self.links or self.headings or self.emphasis:
-            found.add("wiki")
-        t = self.rest
-        if "latex" not in found and "\\" in t and any(m[2] or m[1] in BARE and t[m.end() : m.end() + 1] not in ("\\", "/") for m in _COMMAND.finditer(t)):
-            found.add("latex")
-        if "markdown" not in found and _has_markdown(self._plain() if "wiki" in found else t):
-            found.add("markdown")
-        return found
+        self.edits()
+        return self.found
 
     # ---- the text without markup
 
+    def edits(self) -> list[Edit]:
+        """What content extraction and the constructs of all languages change in the text, made once. A construct counts for its
+        language here, also where it keeps its form."""
+        if self._made is None:
+            self._made = edits = []
+            for s, e, kind, a, b in self.spans.found:
+                self.found.add(_KIND_LANGUAGE.get(kind, "html"))
+                edits.append((s, e, *self._shown(kind, self.source[a:b])))
+            edits += [(s, s + 1, "", False) for s, e in self.spans.escapes if e == s + 2]
+            self._html_edits(edits)
+            self._wiki_edits(edits)
+            if "\\" in self.rest:
+                self._latex_edits(edits)
+            self._markdown_edits(edits, self._plain())
+        return self._made
+
     def text(self) -> str:
-        if not self.source:
-            return ""
-        edits: list[Edit] = []
-        for s, e, kind, a, b in self.spans.found:
-            edits.append((s, e, *self._shown(kind, self.source[a:b])))
-        edits += [(s, s + 1, "", False) for s, e in self.spans.escapes if e == s + 2]
-        self._html_edits(edits)
-        self._wiki_edits(edits)
-        if "\\" in self.rest:
-            self._latex_edits(edits)
-        self._markdown_edits(edits, self._plain())
-        return self._apply(edits)
+        return self._apply(self.edits()) if self.source else ""
 
     @staticmethod
     def _shown(kind: str, inner: str) -> tuple[str, bool]:
@@ -619,13 +608,18 @@ class Parsed:
         return ("$" + inner.strip() + "$" if kind in ("inlinemath", "wikimath") else ""), False
 
     def _html_edits(self, edits: list[Edit]) -> None:
+        began = len(edits)
         edits += [(m.start(), m.end(), html.unescape(m[0]), False) for m in self.references]
         edits += [(s, e, "", False) for s, e in self.doctypes]
+        if len(edits) > began:
+            self.found.add("html")
         if not self.tags:
             return
         unseen = [(s, e) for s, e, kind, _, _ in self.spans.found if kind in ("comment", "element:script", "element:style")]
         tree = Tree(self.marked, self.tags, unseen)
         keep = tree.kept()
+        if tree.marks:
+            self.found.add("html")
         shown = [(s, e) for s, e, kind, _, _ in self.spans.found if kind not in ("comment", "element:script", "element:style", "code")]
         k = 0
         for s, e, node in tree.runs:
@@ -674,6 +668,8 @@ class Parsed:
 
     def _wiki_edits(self, edits: list[Edit]) -> None:
         t = self.rest
+        if self.tables or self.templates or self.links or self.headings or self.emphasis:
+            self.found.add("wiki")
         for s, e in self.tables:
             pos, in_row = s, False
             while pos < e:
@@ -717,6 +713,8 @@ class Parsed:
         name = ""
         for m in _LATEX_STEP.finditer(t):
             s, e = m.span()
+            if m[2] is not None or m[1] in BARE and t[e : e + 1] not in ("\\", "/"):
+                self.found.add("latex")
             if m[0] == "{":
                 waiting.append((name, -1, e) if s == argument else None)
             elif m[0] == "}":
@@ -752,6 +750,7 @@ class Parsed:
                 edits.append((s, e + (t[e : e + 1] == " "), "", False))
 
     def _markdown_edits(self, edits: list[Edit], t: str) -> None:
+        began = len(edits)
         edits += [(m.start(), m.end(), "", False) for m in _DEFINITION.finditer(t)] if "]:" in t else ()
         if "<" in t:
             for m in _AUTOLINK.finditer(t):
@@ -765,8 +764,13 @@ class Parsed:
                 edits.append((m.start(), m.end() - len(inside), "#" * level + " ", False))
                 if tail := _HEADING_END.search(line):
                     edits.append((m.start() + tail.start(), m.end(), "", False))
+        if len(edits) > began:
+            self.found.add("markdown")
         for s, e, line, before in Lines(t):
-            if _is_setext(line, before):
+            setext = _is_setext(line, before)
+            if "markdown" not in self.found and (setext or _opens_block(line, before)):
+                self.found.add("markdown")
+            if setext:
                 top = s - 1 - len(before)
                 edits.append((top, top + len(before) - len(before.lstrip(" \t")), "# " if "=" in line else "## ", False))
                 edits.append((s - 1, e, "", False))
@@ -784,6 +788,7 @@ class Parsed:
         if "*" in t or "_" in t or "~~" in t:
             for a, b in _blocks(t):
                 for s, e, width in _emphasis(t[a:b]):
+                    self.found.add("markdown")
                     edits += [(a + s, a + s + width, "", False), (a + e - width, a + e, "", False)]
 
     @staticmethod
@@ -799,9 +804,9 @@ class Parsed:
             edits += [(s, e, " | ", False) for s, e in bars[1:-1]]
             edits.append((bars[-1][0], bars[-1][1], "", False))
 
-    @staticmethod
-    def _link_edits(edits: list[Edit], t: str) -> None:
-        """Links and images, nested ones too: brackets are paired, and count where a target or label follows."""
+    def _link_edits(self, edits: list[Edit], t: str) -> None:
+        """Links and images, nested ones too: brackets are paired, and count where a target or label follows; a label that has a
+        target of its own is a link by itself."""
         for a, b in _blocks(t):
             waiting: list[tuple[int, int]] = []
             past = a
@@ -814,9 +819,13 @@ class Parsed:
                 elif waiting:
                     start, inner = waiting.pop()
                     after = _GOES_TO.match(t, e) if t[e : e + 1] == "(" else _LABEL.match(t, e) if t[e : e + 1] == "[" else None
+                    if after and t[e] == "[" and _GOES_TO.match(t, after.end()):
+                        continue
                     if after and (t[e] == "(" or inner < s):
                         edits += [(start, inner, "", False), (s, after.end(), "", False)]
                         past = after.end()
+                        if t[e] == "(":  # a label's definition counts by itself
+                            self.found.add("markdown")
 
     def _apply(self, edits: list[Edit]) -> str:
         """The source with all edits made: of two that meet, the one that starts first, or is longer, goes before."""
@@ -860,7 +869,7 @@ def clean(text: str | None) -> str:
 
 def residue(df: DataFrame, keys: Sequence[str], title: str, body: str, texts: bool = True) -> DataFrame:
     """(keys, markup, clean_title, clean_text): the languages found in title or body, sorted, and both cleaned. Each text is
-    parsed once for both; with texts=False the edits are not made and the two columns are left out."""
+    parsed once and its edits are made once for both; with texts=False they are not applied and the two columns are left out."""
     carried = Carried(df, keys)
     keys = carried.keys
 

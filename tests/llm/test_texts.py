@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from foliant.llm import markup, mixing, packing, reading, splitting, tokens
+from foliant.llm import markup, mixing, packing, reading, splitting, text_queries, tokens
 
 # ---- splitting
 
@@ -330,6 +330,41 @@ def test_running_text_beside_elements_stays():
     assert markup.clean("Intro stays.\n\n" + ARTICLE + "\n\nEnd **stays**.").startswith("Intro stays.") and markup.clean(ARTICLE + "\n\nEnd **stays**.").endswith("End stays.")
 
 
+def test_languages_and_text_come_from_one_extraction(monkeypatch):
+    calls, kept = [], markup.Tree.kept
+    monkeypatch.setattr(markup.Tree, "kept", lambda tree: calls.append(tree) or kept(tree))
+    parsed = markup.Parsed("<nav>Home</nav>" + ARTICLE)
+    assert parsed.languages() == {"html"} and len(calls) == 1 and len(calls[0].density) == 7
+    assert "Paragraph 3" in parsed.text() and len(calls) == 1
+
+
+def test_composite_text_density_is_the_method_s():
+    """C/T · log of C/LC · T/LT, to the base ln(C/¬LC · LC + LCb/Cb · C + e); a count of 0 reads as 1."""
+    parsed = markup.Parsed("<div>abcdefghij<p>klmno</p></div><p><a>pqr</a></p>stuvw")
+    tree = markup.Tree(parsed.marked, parsed.tags, ())
+    tree.densities()
+
+    def density(c, t, lc, lt):
+        return c / t * np.log(c / lc * t / lt) / np.log(np.log(c / max(1, c - lc) * lc + 3 / 23 * c + np.e))
+
+    assert tree.tag == ["body", "div", "p", "p", "a"]
+    assert tree.density == pytest.approx([density(23, 4, 3, 1), density(15, 1, 1, 1), density(5, 1, 1, 1), density(3, 1, 3, 1), density(3, 1, 3, 1)])
+
+
+def test_running_text_in_a_block_without_links_stays():
+    """Five sentences beside a long section with two links: above the threshold, as a block without links is denser."""
+    notes = "The limit applies to the backup job only, and nobody has asked for another one. " * 5
+    section = "<p>" + "Running text outside all elements goes on for a while. " * 40 + "</p>" + "<p>One <a href='u'>link</a>.</p>" * 2
+    got = markup.clean(f"<div>{notes}</div><div>{section}</div>")
+    assert got.count("backup job") == 5 and got.count("Running text") == 40
+
+
+def test_links_over_lines_and_behind_brackets():
+    assert markup.languages("see [two\nwords](u)") == {"markdown"} and markup.clean("see [two\nwords](u)") == "see two\nwords"
+    assert markup.languages("[x][y](u)") == {"markdown"} and markup.clean("[x][y](u)") == "[x]y"
+    assert markup.languages("[two\n\nwords](u)") == set()
+
+
 @pytest.mark.parametrize("terms", [10, 60, 2000])
 def test_long_formulas(terms):
     text = "See $" + " + ".join(f"x_{{{i}}}" for i in range(terms)) + "$ here"
@@ -384,3 +419,12 @@ def test_markup_cases(spark):
     by = {(r.project, r.chunk): r for r in got}
     assert len(got) == 4 and by["p", 1].markup == [] and by["p", 1].clean_text == "" and by["p", 2].markup == ["html", "markdown"] and by["p", 2].clean_title == "T" and by[None, None].markup == ["markdown"]
     assert markup.residue(df.limit(0), ["chunk"], "title", "markup").count() == 0
+
+
+def test_found_rows_are_those_of_the_cleaning(spark, tmp_path):
+    texts = ["<nav>Home</nav>" + ARTICLE, "see [two\nwords](u)", "plain", "<p>**b** $x^2$</p>"]
+    rows = [("p", "f", i, "", text, None) for i, text in enumerate(texts)]
+    spark.createDataFrame(rows, "project string, file string, chunk_id long, title string, body string, indexed_at long").write.parquet(str(tmp_path / "index_chunks.parquet"))
+    found = sorted((r.chunk_id, r.markup) for r in text_queries.p6_found(spark, str(tmp_path)).collect())
+    assert found == [(0, "html"), (1, "markdown"), (3, "html"), (3, "latex"), (3, "markdown")]
+    assert found == sorted((r.chunk_id, m) for r in text_queries.p6_clean(spark, str(tmp_path)).collect() for m in r.markup.split(",") if m)
